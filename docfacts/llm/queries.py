@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm import bpe, licenses, media, packing, quality_classifier, quality_rules, toxicity
+from docfacts.llm import bpe, licenses, media, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
 from docfacts.llm.common import shared_dir, table
 from docfacts.llm.token_counts import Rollup, deletes, inserts, revisions, word_count
 
@@ -26,6 +26,10 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_RANKS, pattern())
 
@@ -79,7 +83,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_media_chunks, op7_token_rollup, op8_best_fit_packing, op9_license_scan)
+    f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_media_chunks, op7_token_rollup, op8_best_fit_packing, op9_license_scan)
 }
 
 _OP7 = """
@@ -92,4 +96,21 @@ union all
 select source, lang, 'quarters-1', count(*), cast(sum(coalesce(quarters, 0)) as bigint) from k group by source, lang
 """
 
-SQL: dict[str, str] = {"op7_token_rollup": _OP7}
+_OP1 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, h, unnest(range(1, length(h) - 98, 2)) as i from d where length(h) >= 100),
+s as (select doc_id, i, md5(substr(h, i, 100)) as x from p),
+m as (select x, min(doc_id) as first from s group by x),
+hit as (select doc_id, i from s join m using (x) where doc_id > first),
+e as (select doc_id, i, case when i - lag(i) over w <= 100 then 0 else 1 end as new from hit window w as (partition by doc_id order by i)),
+g as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from e),
+r as (select doc_id, run, min(i) as a, max(i) + 100 as b from g group by doc_id, run),
+k as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 1) as z from r),
+t as (select doc_id, count(*) as n_spans, sum(b - a) // 2 as n_removed, string_agg(substr(h, z, a - z), '' order by a) as keep, max(b) as last
+  from k join d using (doc_id) group by doc_id)
+select d.doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(keep, '') || substr(h, coalesce(last, 1)))) as kept_sha256
+from d left join t using (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op7_token_rollup": _OP7}
