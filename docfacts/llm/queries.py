@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm import bpe, licenses, media, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from docfacts.llm import bpe, jaccard, licenses, media, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
 from docfacts.llm.common import shared_dir, table
 from docfacts.llm.token_counts import Rollup, deletes, inserts, revisions, word_count
 
@@ -82,8 +82,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_media_chunks, op7_token_rollup, op8_best_fit_packing, op9_license_scan)
+    f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_media_chunks, op7_token_rollup, op8_best_fit_packing, op9_license_scan, op10_jaccard_join)
 }
 
 _OP7 = """
@@ -113,4 +117,16 @@ select d.doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_
 from d left join t using (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op7_token_rollup": _OP7}
+_OP10 = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) < 5 then len(w) || ' ' || array_to_string(w, ' ') else array_to_string(w[i : i + 4], ' ') end as x
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * c >= 80 * (x.n + y.n - c)),
+r as (select a as doc_id, a as root from l union select l.b, r.root from r join l on l.a = r.doc_id where r.root < l.b)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce((select min(root) from r where r.doc_id = w.doc_id), w.doc_id)) as component_id
+from w left join n using (doc_id)
+"""
+
+SQL: dict[str, str] = {"op10_jaccard_join": _OP10, "op1_suffix_dedup": _OP1, "op7_token_rollup": _OP7}
