@@ -25,7 +25,8 @@ UNIT = 64
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 512, 16384, 12
 BLOCK_BYTES = 2 << 20
 #: The chunk codec's dictionary is trained on at most so many texts of at most so many bytes.
-DICTIONARY_TEXTS, DICTIONARY_TEXT_BYTES, DICTIONARY_BYTES = 300, 1 << 14, 1 << 15
+DICTIONARY_TEXTS, DICTIONARY_TEXT_BYTES, DICTIONARY_BYTES = 600, 1 << 14, 1 << 16
+LEVEL = 12
 RATE = 8000
 
 
@@ -90,9 +91,11 @@ def train_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
     """A dictionary for the chunk codec, from a bounded sample by hash; empty where there is too little text."""
     import zstandard as z
 
-    rows = docs.select(F.col(text_col).alias("t")).where(F.octet_length("t").between(64, DICTIONARY_TEXT_BYTES)).orderBy(F.xxhash64("t"), "t").limit(DICTIONARY_TEXTS).collect()
+    texts = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).where(F.octet_length("t").between(64, DICTIONARY_TEXT_BYTES))
+    chosen = texts.groupBy("h").agg(F.count(F.lit(1))).select("h").orderBy("h").limit(DICTIONARY_TEXTS)
+    rows = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("t")).orderBy("h").collect()
     try:
-        return z.train_dictionary(DICTIONARY_BYTES, [p for r in rows for p in [wav(payload(r[0].encode()))] for p in chunks(p)]).as_bytes()
+        return z.train_dictionary(DICTIONARY_BYTES, [c for r in rows for c in chunks(wav(payload(r[1].encode())))]).as_bytes()
     except (z.ZstdError, ValueError):
         return b""
 
@@ -102,7 +105,7 @@ def codec(dictionary: bytes):
 
     d = z.ZstdCompressionDict(dictionary) if dictionary else None
     kw = {"dict_data": d} if d else {}
-    return z.ZstdCompressor(level=3, write_checksum=False, write_dict_id=False, **kw), z.ZstdDecompressor(**kw)
+    return z.ZstdCompressor(level=LEVEL, write_checksum=False, write_dict_id=False, **kw), z.ZstdDecompressor(**kw)
 
 
 RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
