@@ -43,7 +43,8 @@ def evidence(texts: list[bytes]) -> np.ndarray:
 
 
 def fit(good: list[bytes], bad: list[bytes]) -> Model:
-    x = evidence(good + bad)
+    texts = good + bad
+    x = np.concatenate([evidence(texts[i : i + 50]) for i in range(0, len(texts), 50)] or [evidence([])])
     y = np.array([1.0] * len(good) + [0.0] * len(bad))
     width = evidence([b""]).shape[1]
     if not good or not bad:
