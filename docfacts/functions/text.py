@@ -126,15 +126,13 @@ def spans(text: Column, pattern: str | Column) -> Column:
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found, around = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     none = F.array().cast(f"array<{SPAN}>")
-    each = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(around, F.lit(1), F.size(found)).alias("g")),
-        F.struct(none.alias("out"), F.lit(0).alias("at")),
-        lambda a, x: F.struct(
-            F.array_append(a["out"], F.struct(x["m"].alias("text"), (a["at"] + F.length(x["g"])).cast("int").alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["m"])).cast("int").alias("end"))).alias("out"),
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).cast("int").alias("at"),
-        ),
-        lambda a: a["out"],
-    )
+    # running ends of the matches as plain numbers, then one pass that builds the spans
+    steps = F.transform(F.arrays_zip(found.alias("m"), F.slice(around, F.lit(1), F.size(found)).alias("g")), lambda x: F.length(x["m"]) + F.length(x["g"]))
+    ends = F.aggregate(
+        steps, F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")),
+        lambda a, x: F.struct(F.array_append(a["out"], (a["at"] + x).cast("int")).alias("out"), (a["at"] + x).cast("int").alias("at")), lambda a: a["out"],
+    )
+    each = F.transform(F.arrays_zip(found.alias("m"), ends.alias("e")), lambda x: F.struct(x["m"].alias("text"), (x["e"] - F.length(x["m"])).cast("int").alias("start"), x["e"].alias("end")))
     return F.when(F.size(found) > 0, each).otherwise(none)
 
 

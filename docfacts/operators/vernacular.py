@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.functions.text import WORD, fold_accents, normalize_vernacular, spans
+from docfacts.functions.text import WORD, normalize_vernacular, spans
 
 MAX_WORDS, MIN_SINGLE = 4, 5
 ZIPF_SINGLE, ZIPF_ALL = 3.6, 4.3
+#: The accented letters that a word of the scan can have, and what they become.
+WORD_ACCENTS = ("ÁÉÍÓÚÜÑáéíóúüñ", "AEIOUUNaeiouun")
 SCIENTIFIC = r"^[A-Z][a-zA-Z-]+(?:\s+[a-z][a-zA-Z-]+)*$"
 #: Single words that are never taken for a species.
 STOP = """
@@ -48,7 +50,7 @@ def scan_vernacular(docs: DataFrame, gazetteer: DataFrame, id_col: str = "_id",
     finds it small); only matches come together by document."""
     tok = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     tok = tok.select("id", spans(F.col("text"), WORD).alias("t")).where("size(t) > 0")
-    tok = tok.select("id", "t", F.transform("t", lambda x: F.lower(fold_accents(x["text"]))).alias("n"))
+    tok = tok.select("id", "t", F.transform("t", lambda x: F.lower(F.translate(x["text"], *WORD_ACCENTS))).alias("n"))
     gram = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("t") - i + 1)), lambda k: F.struct(
         i.alias("i"), k.alias("k"), F.array_join(F.slice(F.col("n"), i, k), " ").alias("key"), F.get("t", i - 1)["start"].alias("start"), F.get("t", i + k - 2)["end"].alias("end"), F.get("t", i - 1)["text"].alias("head")))))
     g = tok.select("id", F.explode(gram).alias("g")).select("id", "g.*")

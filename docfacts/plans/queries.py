@@ -29,7 +29,10 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; long texts that lie in fewer parts than there are cores are dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 # pieces of SQL
@@ -42,6 +45,13 @@ def sql_spans(text: str, pattern: str) -> str:
     return f"list_transform(range(1, len({m}) + 1), lambda i: {{'m': {m}[i], 's': cast({before} as int), 'e': cast({before} + length({m}[i]) as int)}})"
 
 
+def sql_rows(source: str, keys: str, text: str, pattern: str) -> str:
+    """Rows (keys, i, m, s, e) of all matches; offsets are running sums, so long texts stay cheap."""
+    return f"""(select {keys}, i, m, (sum(length(m) + length(g)) over w - length(m))::int as s, (sum(length(m) + length(g)) over w)::int as e from
+      (select {keys}, unnest(m) as m, unnest(g[:len(m)]) as g, unnest(range(1, len(m) + 1)) as i from (select {keys}, regexp_extract_all({text}, {pattern}) as m, string_split_regex({text}, {pattern}) as g from {source}))
+      window w as (partition by {keys} order by i))"""
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -324,12 +334,13 @@ def common_names(spark, sf) -> DataFrame:
 @query(f"""
 with recursive b as (select list_transform(regexp_extract_all(text, {_WORDS}), lambda x: lower(strip_accents(x))) as w from benchmark),
 keys as (select distinct array_to_string(w[2:3], ' ') as key, 2 as k from b where len(w) >= 7 union select array_to_string(w[4:6], ' '), 3 from b where len(w) >= 7 union select w[7], 1 from b where len(w) >= 7),
-d as (select doc_id, {sql_spans("text", _WORDS)} as t from documents),
-g as (select doc_id, t, i, k, array_to_string(list_transform(t[i : i + k - 1], lambda x: lower(strip_accents(x.m))), ' ') as key from (select doc_id, t, unnest(range(1, len(t) + 1)) as i from d), (values (1), (2), (3), (4)) v(k) where i + k - 1 <= len(t)),
-l as (select doc_id, i, max(k) as k, any_value(t[i].m) as head, any_value(t[i].s) as s, arg_max(t[i + k - 1].e, k) as e from g join keys using (key, k) group by doc_id, i),
+t as (select *, lower(strip_accents(m)) as n from {sql_rows("documents", "doc_id", "text", _WORDS)}),
+g as (select *, n || ' ' || lead(n) over w as n2, n || ' ' || lead(n) over w || ' ' || lead(n, 2) over w as n3, lead(e) over w as e2, lead(e, 2) over w as e3 from t window w as (partition by doc_id order by i)),
+l as (select doc_id, i, m as head, s, case when c.key is not null then 3 when b2.key is not null then 2 else 1 end as k, case when c.key is not null then e3 when b2.key is not null then e2 else e end as e
+  from g left join (select key from keys where k = 1) a on a.key = n left join (select key from keys where k = 2) b2 on b2.key = n2 left join (select key from keys where k = 3) c on c.key = n3 where coalesce(a.key, b2.key, c.key) is not null),
 m as (select * from l where not (upper(substr(head, 1, 1)) = substr(head, 1, 1) and lower(substr(head, 1, 1)) <> substr(head, 1, 1))),
-n as (select a.doc_id, a.i, a.k, a.s, a.e, min(b.i) as nxt from m a left join m b on b.doc_id = a.doc_id and b.i >= a.i + a.k group by all),
-r as (select * from n where (doc_id, i) in (select (doc_id, min(i)) from n group by doc_id) union all select n.* from r join n on n.doc_id = r.doc_id and n.i = r.nxt)
+n as (select a.doc_id, a.i, a.k, a.s, a.e, b.i as nxt from m a asof left join m b on b.doc_id = a.doc_id and a.i + a.k <= b.i),
+r as (select n.* from n join (select doc_id, min(i) as i from n group by doc_id) f using (doc_id, i) union all select n.* from r join n on n.doc_id = r.doc_id and n.i = r.nxt)
 select doc_id, s as start, e as "end", e - s as n_chars from r
 """)
 def vernacular_scan(spark, sf):
@@ -386,11 +397,11 @@ _HINT_CASE = " ".join(f"when list_has_any(string_split(norm, ' '), [{', '.join(q
 
 
 @query(f"""
-with bx as (select item_id, unnest(regexp_extract_all({ASCII}, {_CAP})) as name from benchmark), gp as (select {sql_place("name")} as norm, arg_min(name, {{'i': item_id, 'n': name}}) as name, min(item_id) as item from bx group by 1 having length({sql_place("name")}) >= 2),
+with bx as (select item_id, unnest(regexp_extract_all({ASCII}, {_CAP})) as name from benchmark), gp as (select {sql_place("name")} as gnorm, arg_min(name, {{'i': item_id, 'n': name}}) as name, min(item_id) as item from bx group by 1 having length({sql_place("name")}) >= 2),
 x as (select doc_id, unnest({sql_spans("text", _CAP)}) as x from (select doc_id, {ASCII} as text from documents)),
 m as (select doc_id, trim(x.m) as raw, x.s as s, x.e as e, regexp_replace(trim(lower(strip_accents(x.m))), '\\s+', ' ', 'g') as norm, {sql_place("x.m")} as key from x),
 f as (select * from m where not regexp_matches(norm, '^[\\W\\d]+$') and length(norm) > 2 and not list_has_any(string_split(norm, ' '), {_ADMIN_SQL})),
-r as (select doc_id, raw, s, norm, gp.norm is not null as verified, gp.name as canonical, case {_HINT_CASE} else 'place' end as kind from f left join gp on gp.norm = f.key and not (strpos(f.key, ' ') = 0 and f.key in ({", ".join(quoted(w) for w in places.COMMON)})))
+r as (select doc_id, raw, s, norm, gp.gnorm is not null as verified, gp.name as canonical, case {_HINT_CASE} else 'place' end as kind from f left join gp on gp.gnorm = f.key and not (strpos(f.key, ' ') = 0 and f.key in ({", ".join(quoted(w) for w in places.COMMON)})))
 select doc_id, case when verified then canonical else 'raw:' || norm end as key, bool_or(verified) as verified, count(*)::int as count, min(s) as first_start, case when bool_or(verified) then 'municipality' else min(kind) end as type from r group by 1, 2
 """)
 def location_report(spark, sf):
@@ -426,9 +437,9 @@ def build_vernacular(spark, sf):
 
 
 @query("""
-with t as (select conv_id, turn, """ + sql_spans("text", "'\\S+'") + """ as t from conversations),
-w as (select conv_id, turn, t, unnest(range(0, greatest(1, ceil((len(t) - 16) / 44.0)::int))) as w from t)
-select conv_id, turn, w::int as w, (w * 44)::int as first, len(t[w * 44 + 1 : w * 44 + 60])::int as n_tokens, t[w * 44 + 1].s as start, t[least(w * 44 + 60, len(t))].e as "end" from w
+with t as """ + sql_rows("conversations", "conv_id, turn", "text", "'\\S+'") + """, n as (select conv_id, turn, len(regexp_extract_all(text, '\\S+')) as n from conversations),
+w as (select conv_id, turn, n, unnest(range(0, greatest(1, ceil((n - 16) / 44.0)::int))) as w from n)
+select conv_id, turn, w::int as w, (w * 44)::int as first, count(t.i)::int as n_tokens, min(t.s) as start, max(t.e) as "end" from w left join t using (conv_id, turn) where t.i is null or t.i between w * 44 + 1 and w * 44 + 60 group by conv_id, turn, w
 """)
 def qa_windows(spark, sf):
     w = qa.windows(read(spark, sf, "conversations"), "text", max_tokens=64, overlap=16, reserved=4)
@@ -566,10 +577,12 @@ def cap_context(spark, sf):
 
 
 @query("""
-with t as (select conv_id, turn, length(text) // 2 as a, length(text) // 2 + 4 as b, """ + sql_spans("text", "'\\S+'") + """ as t from conversations),
-w as (select conv_id, turn, a, b, t, unnest(range(0, greatest(1, ceil((len(t) - 16) / 44.0)::int))) as w from t), v as (select conv_id, turn, a, b, w, t[w * 44 + 1 : w * 44 + 60] as t from w),
-i as (select *, len(t) > 0 and t[1].s <= a and t[len(t)].e >= b as ok from v)
-select conv_id, turn, w::int as w, case when ok then len(list_filter(t, lambda x: x.s <= a)) else 0 end::int as first, case when ok then len(t) - len(list_filter(t, lambda x: x.e >= b)) + 1 else 0 end::int as last from i
+with t as """ + sql_rows("conversations", "conv_id, turn", "text", "'\\S+'") + """,
+n as (select conv_id, turn, length(text) // 2 as a, length(text) // 2 + 4 as b, len(regexp_extract_all(text, '\\S+')) as n from conversations),
+w as (select *, unnest(range(0, greatest(1, ceil((n - 16) / 44.0)::int))) as w from n),
+i as (select conv_id, turn, w, count(t.i) as n, coalesce(min(t.s) <= any_value(a) and max(t.e) >= any_value(b), false) as ok, count(*) filter (t.s <= a) as f, count(*) filter (t.e >= b) as l
+  from w left join t using (conv_id, turn) where t.i is null or t.i between w * 44 + 1 and w * 44 + 60 group by conv_id, turn, w)
+select conv_id, turn, w::int as w, case when ok then f else 0 end::int as first, case when ok then n - l + 1 else 0 end::int as last from i
 """)
 def answer_windows(spark, sf):
     c = read(spark, sf, "conversations").withColumn("a", F.expr("cast(length(text) div 2 as int)"))
