@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one Python step handles at a time (a longer single text is one step).
 SLICE_BYTES = 1 << 20
+#: Rows of a written table of numbers that one task may write.
+ROWS_A_FILE = 1 << 18
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -26,17 +28,24 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own where that is unset (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="docfacts-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+
+
+@functools.lru_cache(maxsize=1)
+def _own_dir() -> str:
+    where = tempfile.mkdtemp(prefix="docfacts-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
     return where
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and reread."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder as Parquet and reread.
+
+    rows: how many rows of a few numbers there may be, where that is known; a small
+    table is then written by few tasks."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark).rstrip('/')}/docfacts/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,9 +88,10 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n; the last size asked for is kept."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
+    """B**i and B**-i modulo 2**64 for i < n; the largest size asked for is kept."""
+    size = max(_powers, default=0)
+    if size < n:
+        size = 1 << max(16, (n - 1).bit_length())
         _powers.clear()
         two = []
         for base in (_BASE, _BASE_INV):

@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from docfacts.llm.common import written
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, comp): for each number in links, the smallest number reachable.
 
     Rounds of smallest-neighbour labels and label shortening, each a written table;
-    the smallest label of a hot node's neighbours is combined on the map side."""
+    the smallest label of a hot node's neighbours is combined on the map side. rows: an
+    upper bound of the number of links, if known."""
     edges = links.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x is not null and y is not null and x <> y")
-    edges = written(edges.union(edges.select("y", "x")).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    edges = written(edges.union(edges.select("y", "x")).distinct(), "edges", None if rows is None else 2 * rows)
+    n = edges.count()
+    labels = written(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels", n)
     while True:
         around = edges.join(labels, edges["y"] == labels["node"]).groupBy("x").agg(F.min("comp").alias("near"))
         new = labels.join(around, labels["node"] == around["x"], "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        new = written(new, "step")
+        new = written(new, "step", n)
         up = new.select(F.col("node").alias("at"), F.col("comp").alias("far"))
-        new = written(new.join(up, new["comp"] == up["at"], "left").select("node", "old", F.least("comp", "far").alias("comp")), "labels")
+        new = written(new.join(up, new["comp"] == up["at"], "left").select("node", "old", F.least("comp", "far").alias("comp")), "labels", n)
         moved = new.where("comp < old").limit(1).count()
         labels = new.select("node", "comp")
         if not moved:

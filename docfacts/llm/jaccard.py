@@ -9,9 +9,12 @@ shingles, and only where that bound allows a link are they opened, member by mem
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docfacts.llm.common import Words, mix, slices, windows_of, written
@@ -26,6 +29,10 @@ BUCKET_BYTES, MIN_BUCKETS = 1 << 22, 256
 FLUSH = 1 << 20
 #: The first pass leaves out pairs that share fewer index entries; the second finds what they may have hidden.
 FIRST_SHARED = 4
+#: While more pairs of components than this for each row of the matrix lie ahead, likely links are looked for first.
+EXHAUSTIVE = 1
+#: The search goes on while at least this part of the pairs that it compares links.
+YIELD = 0.15
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
@@ -110,7 +117,9 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 
 
 def _index(docs: DataFrame, sketch, buckets: int, k: int, percent: int) -> DataFrame:
-    """Index entries (shingle, set, size) of every set's prefix, in pieces by bucket; equal sets once for each task."""
+    """Index entries (shingle, set, size and rest) of every set's prefix, in pieces by bucket; equal sets once for each task.
+
+    rest: how many shingles of the set, in the common order, are not before the entry."""
 
     def flush(tokens, owner, size):
         token, fp, n = np.concatenate(tokens), np.concatenate(owner), np.concatenate(size)
@@ -136,7 +145,7 @@ def _index(docs: DataFrame, sketch, buckets: int, k: int, percent: int) -> DataF
                 rank = (sketch.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(s) >> np.uint64(8))
                 tokens.append(s[np.argsort(rank, kind="stable")[:take]])
                 owner.append(np.full(take, fp, dtype=np.int64))
-                size.append(np.full(take, n, dtype=np.int64))
+                size.append((n << 32) + n - np.arange(take, dtype=np.int64))
                 held += take
             if held > FLUSH:
                 yield flush(tokens, owner, size)
@@ -169,16 +178,25 @@ def _lists(sketch):
         sums = np.add.reduceat(mix(fp.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
         key = np.where(split, token[first].view(np.uint64), mix(sums + count.astype(np.uint64))).view(np.int64)
         at = np.flatnonzero((count > 1) | split)
-        _, pick, weight = np.unique(key[at], return_index=True, return_counts=True)
+        _, pick, same, weight = np.unique(key[at], return_index=True, return_inverse=True, return_counts=True)
+        # of shingles with one list, each set's largest rest counts
+        size = count[at]
+        ends = np.cumsum(count[at[pick]])
+        into = np.repeat((ends - count[at[pick]])[same], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        come = np.repeat(first[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids, sizes = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        ids[into] = fp[come]
+        np.maximum.at(sizes, into, n[come])
+        cut = pa.array(np.append(0, ends).astype(np.int32))
         at = at[pick]
-        ids = [fp[first[i] : first[i] + count[i]] for i in at.tolist()]
-        sizes = [n[first[i] : first[i] + count[i]] for i in at.tolist()]
-        return pa.table({"key": pa.array(key[at], pa.int64()), "split": pa.array(split[at]), "fps": pa.array(ids, pa.list_(pa.int64())), "ns": pa.array(sizes, pa.list_(pa.int64())), "weight": pa.array(weight, pa.int64())})
+        lists = (pa.ListArray.from_arrays(cut, pa.array(x, pa.int64())) for x in (ids, sizes >> 32, sizes & 0xFFFFFFFF))
+        return pa.table([pa.array(key[at], pa.int64()), pa.array(split[at]), *lists, pa.array(weight, pa.int64())], names=["key", "split", "fps", "ns", "rs", "weight"])
 
     return run
 
 
-_LISTS = "key long, split boolean, fps array<bigint>, ns array<bigint>, weight long"
+_LISTS = "key long, split boolean, fps array<bigint>, ns array<bigint>, rs array<bigint>, weight long"
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -188,7 +206,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         import zstandard
 
         known: set[int] = set()
-        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        pack = zstandard.ZstdCompressor(level=6, write_checksum=False).compress
         for _, texts in slices(it, "text"):
             rows = []
             for s, t in zip(shingle_sets(texts, k), texts):
@@ -262,8 +280,51 @@ def _compare_pairs(pairs: DataFrame, groups: DataFrame, k: int, percent: int) ->
     return _open(pairs.join(left, "ga").join(right, "gb"), k, percent)
 
 
-def _sizes_fit(a_least: str, a_most: str, b_least: str, b_most: str, percent: int):
-    return (100 * F.col(a_most) >= percent * F.col(b_least)) & (100 * F.col(b_most) >= percent * F.col(a_least))
+def _groups(labels: DataFrame, entries: int) -> DataFrame:
+    """(fp, comp, g): components as groups of similar documents; large ones in parts of about half GROUP sets."""
+    size = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
+    part = F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / (GROUP // 2))))
+    return written(labels.join(size, "comp").select(F.col("node").alias("fp"), "comp", F.when(F.col("m") <= GROUP, F.col("comp")).otherwise(part).alias("g")), "grouped", entries)
+
+
+def _matrix(lists: DataFrame, grouped: DataFrame, entries: int) -> DataFrame:
+    """(key, g, comp, least, most, rest): index entries against groups, where more than one component has the entry."""
+    row = lists.select("key", F.explode(F.arrays_zip("fps", "ns", "rs")).alias("x")).select("key", F.col("x.fps").alias("fp"), F.col("x.ns").alias("n"), F.col("x.rs").alias("r"))
+    row = row.join(grouped, "fp", "left").select("key", F.coalesce("g", "fp").alias("g"), F.coalesce("comp", "fp").alias("comp"), "n", "r")
+    row = row.groupBy("key", "g", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("r").alias("rest"))
+    several = row.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    return written(row.join(several, "key", "left_semi"), "matrix", entries)
+
+
+def _chain(row: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each group a few others: neighbours under an entry in an order of that entry's and turn's own, the most frequent first."""
+    w = W.partitionBy("key").orderBy(F.xxhash64("g", "key", F.lit(turn)), "g")
+    nxt = row.withColumn("x", F.lead(F.struct("g", "comp", "least", "most", "rest")).over(w)).where("x is not null and x.comp <> comp")
+    nxt = nxt.select("g", "least", "most", "rest", F.col("x.g").alias("h"), F.col("x.least").alias("l2"), F.col("x.most").alias("m2"), F.col("x.rest").alias("r2")).where(_can_link("least", "most", "rest", "l2", "m2", "r2", percent))
+    pair = nxt.groupBy(F.least("g", "h").alias("ga"), F.greatest("g", "h").alias("gb")).agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct("n", F.xxhash64("ga", "gb"))
+    best = [pair.groupBy(c).agg(F.max_by(F.struct("ga", "gb"), o).alias("x")).select("x.ga", "x.gb") for c in ("ga", "gb") for o in (order, F.xxhash64("gb", "ga"), F.xxhash64("gb", "ga", F.lit(1)))]
+    return functools.reduce(DataFrame.union, best).distinct()
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    return pairs.join(tried.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")), ["ga", "gb"], "left_anti")
+
+
+def _members(texts: DataFrame, grouped: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(g, members) of the groups in pairs."""
+    used = pairs.select(F.col("ga").alias("g")).union(pairs.select("gb")).distinct()
+    return texts.join(grouped, "fp", "left").select(F.coalesce("g", "fp").alias("g"), F.struct("fp", "n", "z").alias("m")).join(used, "g", "left_semi").groupBy("g").agg(F.collect_list("m").alias("members"))
+
+
+def _can_link(a_least: str, a_most: str, a_rest: str, b_least: str, b_most: str, b_rest: str, percent: int):
+    """Sizes are near enough, and from their first common shingle on both sets are long enough for the overlap that a link needs.
+
+    What two sets share is not before their first common entry, so a pair that links
+    meets this under that entry."""
+    c = F.col
+    sizes = (100 * c(a_most) >= percent * c(b_least)) & (100 * c(b_most) >= percent * c(a_least))
+    return sizes & ((100 + percent) * F.least(c(a_rest), c(b_rest)) >= percent * (c(a_least) + c(b_least)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -289,40 +350,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = written(_index(text, sketch, buckets, shingle, percent).groupBy("to").applyInArrow(_lists(sketch), _LISTS), "lists")
 
     # first pass: each set against the one it shares most with
-    entry = lists.select("key", "split", "weight", F.col("fps")[0].alias("a"), F.col("ns")[0].alias("na"), F.explode(F.arrays_zip("fps", "ns")).alias("x"))
-    star = entry.select("a", "na", F.col("x.fps").alias("b"), F.col("x.ns").alias("nb"), "weight")
-    heads = lists.where("split").select("key", F.struct(F.col("fps")[0].alias("fp"), F.col("ns")[0].alias("n")).alias("head"))
+    entry = lists.select("key", "split", "weight", F.col("fps")[0].alias("a"), F.col("ns")[0].alias("na"), F.col("rs")[0].alias("ra"), F.explode(F.arrays_zip("fps", "ns", "rs")).alias("x"))
+    star = entry.select("a", "na", F.col("x.fps").alias("b"), F.col("x.ns").alias("nb"), "weight", "ra", F.col("x.rs").alias("rb"))
+    heads = lists.where("split").select("key", F.struct(F.col("fps")[0].alias("fp"), F.col("ns")[0].alias("n"), F.col("rs")[0].alias("r")).alias("head"))
     top = heads.groupBy("key").agg(F.min("head").alias("top"))
-    chain = heads.join(top, "key").select(F.col("top.fp").alias("a"), F.col("top.n").alias("na"), F.col("head.fp").alias("b"), F.col("head.n").alias("nb"), F.lit(FIRST_SHARED).cast("long").alias("weight"))
-    star = star.union(chain).where((F.col("a") != F.col("b")) & _sizes_fit("na", "na", "nb", "nb", percent))
+    chain = heads.join(top, "key").select(F.col("top.fp").alias("a"), F.col("top.n").alias("na"), F.col("head.fp").alias("b"), F.col("head.n").alias("nb"), F.lit(FIRST_SHARED).cast("long").alias("weight"), F.col("top.r").alias("ra"), F.col("head.r").alias("rb"))
+    star = star.union(chain).where((F.col("a") != F.col("b")) & _can_link("na", "na", "ra", "nb", "nb", "rb", percent))
     star = star.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.min(F.least("na", "nb")).alias("n"))
     best = star.where((F.col("weight") >= FIRST_SHARED) | (F.col("n") < 10 * FIRST_SHARED)).groupBy("b").agg(F.max(F.struct("weight", "a")).alias("x"))
-    pairs = written(best.select(F.col("x.a").alias("ga"), F.col("b").alias("gb")), "pairs")
+    entries = lists.agg(F.sum(F.size("fps"))).first()[0] or 0
+    pairs = written(best.select(F.col("x.a").alias("ga"), F.col("b").alias("gb")), "pairs", entries)
     wanted = lists.where("size(fps) > 1 or split").select(F.explode("fps").alias("fp")).distinct()
     texts = written(_texts(text, wanted, shingle), "texts")
     single = texts.select(F.col("fp").alias("g"), F.array(F.struct("fp", "n", "z")).alias("members"))
     links = written(_compare_pairs(pairs, single, shingle, percent), "links")
-    labels = components(links)
-
-    # groups of similar documents: parts of the components found, of at most about GROUP sets
-    size = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    grouped = labels.join(size, "comp").select(F.col("node").alias("fp"), "comp", F.when(F.col("m") <= GROUP, F.col("comp")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / (GROUP // 2))))).alias("g"))
-    grouped = written(grouped, "grouped")
-
-    # second pass: groups of different components that share an index entry
-    row = lists.select("key", F.explode(F.arrays_zip("fps", "ns")).alias("x")).select("key", F.col("x.fps").alias("fp"), F.col("x.ns").alias("n"))
-    row = row.join(grouped, "fp", "left").select("key", F.coalesce("g", "fp").alias("g"), F.coalesce("comp", "fp").alias("comp"), "n")
-    row = row.groupBy("key", "g", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = row.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    row = written(row.join(several, "key", "left_semi"), "matrix")
-    a, b = (row.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("g", "comp", "least", "most"))) for p in "ab")
-    cross = a.join(b, "key").where((F.col("ag") < F.col("bg")) & (F.col("acomp") != F.col("bcomp")) & _sizes_fit("aleast", "amost", "bleast", "bmost", percent))
-    cross = cross.select(F.col("ag").alias("ga"), F.col("bg").alias("gb")).distinct().join(pairs, ["ga", "gb"], "left_anti").join(pairs.select(F.col("ga").alias("gb"), F.col("gb").alias("ga")), ["ga", "gb"], "left_anti")
-    cross = written(cross, "cross")
-    used = cross.select(F.col("ga").alias("g")).union(cross.select("gb")).distinct()
-    members = texts.join(grouped, "fp", "left").select(F.coalesce("g", "fp").alias("g"), F.struct("fp", "n", "z").alias("m")).join(used, "g", "left_semi").groupBy("g").agg(F.collect_list("m").alias("members"))
-    more = written(_compare_pairs(cross, members, shingle, percent), "links")
-    labels = components(links.union(more).union(grouped.where("fp <> comp").select("fp", "comp")))
+    tried, labels, turn, useful = pairs, components(links, rows=entries), 0, True
+    while True:
+        grouped = _groups(labels, entries)
+        row = _matrix(lists, grouped, entries)
+        n, ahead = row.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("comp").alias("c")).agg(F.sum("n"), F.sum(F.expr("c * (c - 1) / 2"))).first()
+        if not useful or (ahead or 0) <= EXHAUSTIVE * (n or 0):
+            break
+        turn += 1
+        # many components meet under the same entries: join what is alike before all of them are paired
+        some = written(_untried(_chain(row, percent, turn), tried), "chain", entries)
+        more = written(_compare_pairs(some, _members(texts, grouped, some), shingle, percent), "links")
+        useful = more.count() >= YIELD * some.count() > 0
+        links, tried = links.union(more), tried.union(some)
+        labels = components(links, rows=entries)
+
+    # second pass: all groups of different components that share an index entry
+    a, b = (row.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("g", "comp", "least", "most", "rest"))) for p in "ab")
+    cross = a.join(b, "key").where((F.col("ag") < F.col("bg")) & (F.col("acomp") != F.col("bcomp")) & _can_link("aleast", "amost", "arest", "bleast", "bmost", "brest", percent))
+    cross = written(_untried(cross.select(F.col("ag").alias("ga"), F.col("bg").alias("gb")).distinct(), tried), "cross")
+    more = written(_compare_pairs(cross, _members(texts, grouped, cross), shingle, percent), "links")
+    labels = components(links.union(more), rows=None)
 
     # the smallest id of each component
     smallest = base.where("fp <> 0").groupBy("fp").agg(F.min("id").alias("least")).join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
