@@ -121,7 +121,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     import zstandard as z
 
     toxic, ordinary = [t.translate(LOWER) for t in toxic], [t.translate(LOWER) for t in ordinary]
-    samples = [w for t in ordinary[:600] + toxic[:600] for w in (t[i : i + 512] for i in range(0, len(t), 512))]
+    samples = [w for t in ordinary[:1200] for w in (t[i : i + 512] for i in range(0, len(t), 512))]
     try:
         base = z.train_dictionary(BASE_BYTES, samples, k=64, d=8, level=LEVEL).as_bytes()[-BASE_BYTES:]
     except z.ZstdError:  # too little text to train on
@@ -134,12 +134,12 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
         for label, texts in ((1, toxic[half::2]), (0, ordinary[half::2])):
             rows += [features(own, t) for t in texts]
             y += [label] * len(texts)
-    x = np.array(rows, dtype=float).reshape(len(rows), -1)
     y = np.array(y, dtype=float)
     if not len(y) or y.min() == y.max():
         share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
         width = len(features(model, b""))
         return Model(base, model.toxic, model.ordinary, (0.0,) * width, (1.0,) * width, (*((0.0,) * width), math.log(share / (1 - share))))
+    x = np.array(rows, dtype=float)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     w = logistic((x - mean) / scale, y)
     return Model(base, model.toxic, model.ordinary, tuple(mean), tuple(scale), tuple(w))
