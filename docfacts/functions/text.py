@@ -40,9 +40,8 @@ def fold_accents(c: Column) -> Column:
     only where the text has any. All else passes unchanged (see fold_accents_full)."""
     one, to, many = _fold_tables()
     out = F.regexp_replace(F.translate(c, one, to), r"\p{Mn}+", "")
-    rare = out
-    for a, b in many.items():
-        rare = F.replace(rare, F.lit(a), F.lit(b))
+    table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in many.items()))
+    rare = F.aggregate(table, out, lambda s, x: F.replace(s, x["a"], x["b"]))
     return F.when(out.rlike("[" + "".join(many) + "]"), rare).otherwise(out)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfacts.functions.text import BINOMIAL, find_spans, normalize_taxon, spans
+from docfacts.sources.shared import written
 from docfacts.operators.taxa import Taxa, accepted, resolve_names
 from docfacts.operators.vernacular import scan_vernacular
 
@@ -31,7 +32,7 @@ def candidates(docs: DataFrame, scan_text: bool = True, id_col: str = "_id") ->
 
 def mentions(docs: DataFrame, gaz: Taxa, vernacular: DataFrame | None = None, scan_text: bool = True, ranks: tuple[str, ...] = RANKS, id_col: str = "_id", **kw) -> DataFrame:
     """(id, hit, text, start, end, source, ord): every mention of an accepted taxon."""
-    c = candidates(docs, scan_text, id_col).withColumn("name_norm", normalize_taxon(F.col("raw")))
+    c = written(candidates(docs, scan_text, id_col).withColumn("name_norm", normalize_taxon(F.col("raw"))), "candidates")
     strict = resolve_names(c, gaz, False)
     loose = resolve_names(c.where("fuzzy").join(strict, "name_norm", "left_anti"), gaz, True, **kw)
     hit = c.join(strict.withColumn("f", F.lit(False)), "name_norm", "left").join(loose.select(F.col("name_norm").alias("_n"), F.col("hit").alias("_h")), (F.col("name_norm") == F.col("_n")) & F.col("fuzzy"), "left")
@@ -43,7 +44,7 @@ def mentions(docs: DataFrame, gaz: Taxa, vernacular: DataFrame | None = None, sc
         alternatives = v.select("scientific").distinct().select("scientific", F.posexplode("scientific").alias("pos", "sci")).withColumn("name_norm", normalize_taxon(F.col("sci")))
         known = alternatives.join(resolve_names(alternatives, gaz, False), "name_norm").groupBy("scientific").agg(F.min_by("hit", "pos").alias("hit"))
         out = out.unionByName(v.join(known, "scientific").select("id", "hit", F.col("common").alias("text"), "start", "end", F.lit("vernacular").alias("source"), F.lit(2).alias("o1"), F.col("start").alias("o2")))
-    return out.where(accepted(F.col("hit.rank"), ranks))
+    return written(out.where(accepted(F.col("hit.rank"), ranks)), "mentions")
 
 
 def findings(found: DataFrame) -> DataFrame:

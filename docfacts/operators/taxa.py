@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docfacts.functions import fuzzy as sim
 from docfacts.functions.text import normalize_taxon, prefix3
+from docfacts.sources.shared import written
 
 KINGDOM_RANKS = ("kingdom", "domain", "superkingdom")
 MIN_SIMILARITY, MIN_LENGTH, MAX_CANDIDATES = 0.90, 8, 400
@@ -26,12 +27,14 @@ class Taxa:
 
 
 def kingdoms(concepts: DataFrame, levels: int = 6) -> DataFrame:
-    """(ott_id, kingdom): the nearest ancestor-or-self of a kingdom rank, by pointer doubling over 2**levels steps."""
+    """(ott_id, kingdom): the nearest ancestor-or-self of a kingdom rank, by pointer doubling over 2**levels steps.
+
+    Each level is a written table of three short columns, as the next one reads it twice."""
     is_k = F.lower(F.coalesce("rank", F.lit(""))).isin(*KINGDOM_RANKS)
     state = concepts.select("ott_id", F.when(is_k, F.col("pref")).alias("kingdom"), F.when(is_k, F.lit(None)).otherwise(F.nullif("parent", F.lit(""))).alias("jump"))
     for _ in range(levels):
         up = state.select(F.col("ott_id").alias("_at"), F.col("kingdom").alias("_k"), F.col("jump").alias("_j"))
-        state = state.join(up, state["jump"] == up["_at"], "left").select("ott_id", F.coalesce("kingdom", "_k").alias("kingdom"), F.when(F.col("kingdom").isNull(), F.col("_j")).alias("jump"))
+        state = written(state.join(up, state["jump"] == up["_at"], "left").select("ott_id", F.coalesce("kingdom", "_k").alias("kingdom"), F.when(F.col("kingdom").isNull(), F.col("_j")).alias("jump")), "ancestors")
     return state.select("ott_id", "kingdom")
 
 
@@ -44,7 +47,9 @@ def build_taxa(raw: DataFrame, with_fuzzy: bool = True, compat: bool = True) ->
     names = names.select("name_norm", "ott_id", "is_syn", (prefix3(F.col("name_norm")) if with_fuzzy else F.lit(None).cast("string")).alias("prefix3"), "ord")
     base = c.select("ott_id", "pref", "rank", "parent", "ord")
     base = base.groupBy("ott_id").agg(F.min_by(F.struct("pref", "rank", "parent"), "ord").alias("x")).select("ott_id", "x.pref", "x.rank", "x.parent")
-    return Taxa(base.join(kingdoms(base), "ott_id"), names)
+    base = written(base, "concepts")
+    # every step of the cascade reads both tables
+    return Taxa(written(base.join(kingdoms(base), "ott_id"), "taxa"), written(names, "names"))
 
 
 def _hit(match_type: str | Column, score: Column) -> Column:
@@ -85,11 +90,14 @@ def fuzzy(names: DataFrame, gaz: Taxa, how: str = "indel", most: int | None = MA
 
 
 def resolve_names(names: DataFrame, gaz: Taxa, with_fuzzy: bool = True, how: str = "indel", most: int | None = MAX_CANDIDATES) -> DataFrame:
-    """(name_norm, hit) for the distinct keys that resolve: exact, then abbreviated, then fuzzy; each step sees only what the last left."""
-    q = names.select("name_norm").where("name_norm <> ''").distinct()
-    out = exact(q, gaz)
+    """(name_norm, hit) for the distinct keys that resolve: exact, then abbreviated, then fuzzy; each step sees only what the last left.
+
+    The distinct keys and each step's hits are written tables, as later steps read
+    them again."""
+    q = written(names.select("name_norm").where("name_norm <> ''").distinct(), "keys")
+    out = written(exact(q, gaz), "exact")
     left = q.join(out, "name_norm", "left_anti")
-    short = abbreviated(left, gaz)
+    short = written(abbreviated(left, gaz), "abbreviated")
     out = out.unionByName(short)
     if with_fuzzy:
         out = out.unionByName(fuzzy(left.join(short, "name_norm", "left_anti"), gaz, how, most))
