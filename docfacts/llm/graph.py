@@ -28,3 +28,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None =
         labels = new.select("node", "comp")
         if not moved:
             return labels
+
+
+def extend(labels: DataFrame, links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
+    """(node, comp) after more links: only the components that these connect are labelled anew."""
+    ends = links.select(F.col(a).alias("x")).union(links.select(b)).distinct().join(labels, F.col("x") == F.col("node"), "left_anti")
+    every = written(labels.select("node", "comp").union(ends.select("x", "x")), "labels", rows)
+    left, right = every.select(F.col("node").alias("_a"), F.col("comp").alias("ca")), every.select(F.col("node").alias("_b"), F.col("comp").alias("cb"))
+    between = links.join(left, F.col(a) == F.col("_a")).join(right, F.col(b) == F.col("_b")).where("ca <> cb").select("ca", "cb").distinct()
+    joined = components(written(between, "between", rows), "ca", "cb", rows).select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+    return written(every.join(joined, every["comp"] == joined["_n"], "left").select("node", F.coalesce("_c", "comp").alias("comp")), "labels", rows)

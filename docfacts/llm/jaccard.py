@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docfacts.llm.common import Words, mix, slices, windows_of, written
-from docfacts.llm.graph import components
+from docfacts.llm.graph import components, extend
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of the frequency sketch: a fixed size, whatever the input. It only orders shingles; any order gives the same result.
@@ -376,15 +376,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         some = written(_untried(_chain(row, percent, turn), tried), "chain", entries)
         more = written(_compare_pairs(some, _members(texts, grouped, some), shingle, percent), "links")
         useful = more.count() >= YIELD * some.count() > 0
-        links, tried = links.union(more), tried.union(some)
-        labels = components(links, rows=entries)
+        tried = tried.union(some)
+        labels = extend(labels, more, rows=entries)
 
     # second pass: all groups of different components that share an index entry
     a, b = (row.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("g", "comp", "least", "most", "rest"))) for p in "ab")
     cross = a.join(b, "key").where((F.col("ag") < F.col("bg")) & (F.col("acomp") != F.col("bcomp")) & _can_link("aleast", "amost", "arest", "bleast", "bmost", "brest", percent))
     cross = written(_untried(cross.select(F.col("ag").alias("ga"), F.col("bg").alias("gb")).distinct(), tried), "cross")
     more = written(_compare_pairs(cross, _members(texts, grouped, cross), shingle, percent), "links")
-    labels = components(links.union(more), rows=None)
+    labels = extend(labels, more, rows=entries)
 
     # the smallest id of each component
     smallest = base.where("fp <> 0").groupBy("fp").agg(F.min("id").alias("least")).join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
