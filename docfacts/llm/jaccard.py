@@ -281,10 +281,18 @@ def _compare_pairs(pairs: DataFrame, groups: DataFrame, k: int, percent: int) ->
 
 
 def _groups(labels: DataFrame, entries: int) -> DataFrame:
-    """(fp, comp, g): components as groups of similar documents; large ones in parts of about half GROUP sets."""
+    """(fp, comp, g): components as groups of similar documents; large ones in parts of about half GROUP sets.
+
+    g tells the members: a set that is alone keeps its own number, several have a
+    negative number made of all of them. A pair of numbers thus stands for the same
+    comparison in every pass."""
     size = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    part = F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / (GROUP // 2))))
-    return written(labels.join(size, "comp").select(F.col("node").alias("fp"), "comp", F.when(F.col("m") <= GROUP, F.col("comp")).otherwise(part).alias("g")), "grouped", entries)
+    part = F.when(F.col("m") <= GROUP, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / (GROUP // 2))))
+    dealt = labels.join(size, "comp").select(F.col("node").alias("fp"), "comp", part.alias("part"))
+    w = W.partitionBy("comp", "part")
+    dealt = dealt.withColumn("several", F.count(F.lit(1)).over(w)).withColumn("digest", F.bit_xor(F.xxhash64("fp")).over(w))
+    own = F.xxhash64("comp", "part", "several", "digest").bitwiseOR(F.lit(-(1 << 63)))
+    return written(dealt.select("fp", "comp", F.when(F.col("several") == 1, F.col("fp")).otherwise(own).alias("g")), "grouped", entries)
 
 
 def _matrix(lists: DataFrame, grouped: DataFrame, entries: int) -> DataFrame:
@@ -308,6 +316,7 @@ def _chain(row: DataFrame, percent: int, turn: int) -> DataFrame:
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """pairs without those of the same members on both sides that were compared before."""
     return pairs.join(tried.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")), ["ga", "gb"], "left_anti")
 
 

@@ -280,6 +280,23 @@ def test_jaccard_near_copies(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+@pytest.mark.parametrize("sketch", [1, 16])
+def test_jaccard_chains(spark, monkeypatch, sketch):
+    """Of a, m and c only a~m and m~c link: that a and c were compared alone says nothing about a's group and c."""
+    monkeypatch.setattr(jaccard, "SKETCH", sketch)
+    monkeypatch.setattr(jaccard, "SKETCH_ROWS", 1)
+    rows = []
+    for i in range(60):
+        m = [f"t{i}w{j}" for j in range(104)]
+        a, c = list(m), list(m)
+        for j in (10, 30):
+            a[j], c[j + 45] = f"a{i}x{j}", f"c{i}x{j}"
+        rows += [(3 * i + j, " ".join(w)) for j, w in enumerate((a, m, c))]
+    want = plain_components(rows)
+    assert len({c for _, _, c in want}) == 60
+    assert collections.Counter(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
