@@ -121,7 +121,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     import zstandard as z
 
     toxic, ordinary = [t.translate(LOWER) for t in toxic], [t.translate(LOWER) for t in ordinary]
-    samples = [w for t in ordinary[:1200] for w in (t[i : i + 512] for i in range(0, len(t), 512))]
+    samples = [w for t in ordinary for w in (t[i : i + 512] for i in range(0, len(t), 512))]
     try:
         base = z.train_dictionary(BASE_BYTES, samples, k=64, d=8, level=LEVEL).as_bytes()[-BASE_BYTES:]
     except z.ZstdError:  # too little text to train on

@@ -117,6 +117,18 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.add_score(empty, model).count() == 0
 
 
+def test_toxicity_trains_on_whole_sample(monkeypatch):
+    """The part common to both dictionaries is trained on every text of the sample, not on its first ones."""
+    import zstandard
+
+    seen = []
+    train = zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **kw: seen.extend(samples) or train(size, samples, **kw))
+    ordinary = [f"ordinary text number {i} with a few words".encode() for i in range(toxicity.SAMPLE_ROWS)]
+    toxicity.fit([b"vile words"] * 10, ordinary)
+    assert seen == ordinary
+
+
 def test_quality_rules(docs, empty):
     for r in quality_rules.judge(docs).collect():
         t = next(t or "" for i, t in enumerate(TEXTS) if i == r["doc_id"]) if r["doc_id"] is not None else "null id " + PASSAGE
