@@ -95,6 +95,33 @@ NOTICES = (
     ("proprietary", "redistribution", "redistribution is? prohibited|forbidden", 0.9),
 )
 
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+_ISC = "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted"
+_FSF = "as published by the free software foundation either version"
+#: Words of the licence texts and notices themselves, which need not name the licence: label, keyword, words, confidence.
+SIGNATURES = (
+    ("mit-0", "hereby granted", _MIT + " the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided", 0.95),
+    ("mit", "hereby granted", _MIT, 0.9),
+    ("mit", "substantial portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.9),
+    ("0bsd", "hereby granted", _ISC + " the software is provided", 0.95),
+    ("isc", "hereby granted", _ISC + " provided that the above copyright notice", 0.95),
+    ("bsl-1.0", "hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 0.95),
+    ("ofl-1.1", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of the font software", 0.95),
+    ("bsd", "source and binary", "redistribution and use in source and binary forms with or without modification are permitted", 0.9),
+    ("bsd-3-clause", "endorse or promote", "contributors may be used to endorse or promote products derived from this software", 0.9),
+    ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledgement|acknowledgment", 0.95),
+    ("apache-2.0", "in compliance with", "you may not use this file except in compliance with the license", 0.8),
+    ("apache-2.0", "royalty free irrevocable", "perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce", 0.9),
+    ("gpl-2.0", "software foundation", "gnu general public license " + _FSF + " 2 of the license", 0.95),
+    ("gpl-3.0", "software foundation", "gnu general public license " + _FSF + " 3 of the license", 0.95),
+    ("lgpl-2.1", "software foundation", "gnu lesser general public license " + _FSF + " 2 1 of the license", 0.95),
+    ("lgpl-3.0", "software foundation", "gnu lesser general public license " + _FSF + " 3 of the license", 0.95),
+    ("agpl-3.0", "software foundation", "gnu affero general public license " + _FSF + " 3 of the license", 0.95),
+    ("mpl-2.0", "source code form", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.95),
+    ("zlib", "held liable", "in no event will the authors be held liable for any damages arising from the use of this software", 0.9),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 0.95),
+)
+
 _GAP = r"[\x00-/:-`{-\x7F]+"
 #: A bare name that is also an everyday word or abbreviation counts only in a grant.
 _NEEDS_GRANT = {"mit license?", "expat license?", "isc license?", "zlib license?", "the? unlicense"}
@@ -111,7 +138,7 @@ def _pattern(words: str) -> str:
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(rank, label, keyword, pattern, confidence): every way to grant every licence, surest first."""
+    """(rank, label, keyword, pattern, confidence): every way to grant every licence, surest first; then words of the texts, and notices."""
     out = []
     for grant, sure in GRANTS:
         for label, keyword, name in NAMES:
@@ -120,7 +147,7 @@ def rules() -> list[tuple[int, str, str, str, float]]:
                 if name == "the? unlicense":
                     continue
             out.append((label, keyword, _pattern(grant.format(name)), sure))
-    out += [(label, keyword, _pattern(words), sure) for label, keyword, words, sure in NOTICES]
+    out += [(label, keyword, _pattern(words), sure) for label, keyword, words, sure in SIGNATURES + NOTICES]
     return [(i, *x) for i, x in enumerate(out)]
 
 

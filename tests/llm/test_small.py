@@ -247,6 +247,25 @@ def test_license_labels(spark, text, labels):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == labels
 
 
+def test_license_texts(spark):
+    """The words of a licence's own text are enough; its name need not be there."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+    want = [
+        (mit + ' "Software")', "mit"),
+        (isc + ", provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+        (isc + '. THE SOFTWARE IS PROVIDED "AS IS"', "0bsd"),
+        (bsd, "bsd"),
+        (bsd + " x. Neither the name of x nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd,bsd-3-clause"),
+        ("you may not use this file except in compliance with the License.", "apache-2.0"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("permission is granted to use binary forms", ""),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == {i: x for i, (_, x) in enumerate(want)}
+
+
 def plain_components(rows):
     sets = []
     for _, t in rows:
