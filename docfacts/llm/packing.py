@@ -2,13 +2,15 @@
 
 Documents become pieces of at most `capacity` tokens. Each partition packs its
 pieces best-fit decreasing and compares its bins with a lower bound from
-dual-feasible functions. What a partition could not close well, it hands on:
-those pieces meet pieces of other partitions and are packed again, in fewer
-partitions each round, until one round has a single partition."""
+dual-feasible functions. A partition that meets its bound is certified and closed.
+From one with a gap the bins that are not nearly full go on: their pieces meet those
+of other partitions and are packed again, in as many partitions as they fill, until
+nothing is open, the whole meets the bound of all pieces, or a round saves no bin."""
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 import zlib
@@ -25,58 +27,97 @@ CAPACITY = 4096
 END_ID = 1
 #: Words kept in a worker's cache; it is emptied when full.
 CACHE_WORDS = 500_000
-#: Tokens of one packing partition, and how many partitions meet in one of the next round.
-PARTITION_TOKENS = CAPACITY * 4096
-FAN_IN = 32
-#: A bin with less than this part of the capacity unused is closed.
+#: Tokens and pieces of one packing partition at most, about.
+PARTITION_TOKENS, PARTITION_PIECES = CAPACITY * 4096, 1 << 18
+#: A bin with less than this part of the capacity unused isn't handed on.
 SLACK = 0.01
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
-#: Full stop or comma after a letter or digit and before white space: always tokens of their own.
-_POINT = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
+#: Fixed value: the pre-tokens of the word tokenizer's file; none spans white space.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-case ASCII.
+_ASCII_PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Split by Python as white space, but not by the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters before this are letters in every version of Unicode since 7.
+_OLD = "\u0530"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level BPE writes for each byte; a space stays, as it parts words here."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    odd = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)} | {32: " "}
 
 
 class WordTokenizer:
-    """A tokenizer whose pre-tokens never span white space, with a bounded cache by word."""
+    """A tokenizer with a bounded cache by word.
+
+    Where the file has the pre-tokens above, after lower-casing and NFC, a text's ids
+    are those of its words one after another; words are learned in batches, without the
+    steps that leave them as they are. Texts that hold a special token's string or aren't
+    NFC, and all texts under another file, go through the tokenizer as they are."""
 
     def __init__(self, path: str):
         quiet_threads()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        steps = [x["type"] for x in (kind.get("normalizer") or {}).get("normalizers", [])]
+        split = ((kind.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": PRE_TOKENS} and kind["model"].get("end_of_word_suffix") == "</w>"
+        self.special = [x["content"] for x in kind.get("added_tokens", [])]
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for k, i in vocab.items() if k.endswith("</w>")]] = True
+        self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _words(self, text: str) -> list[str] | None:
-        if _ODD_SPACE.search(text):
+        if not self.by_word or _ODD_SPACE.search(text) or any(x in text for x in self.special):
             return None
         if text.isascii() or unicodedata.is_normalized("NFC", text) and "Σ" not in text and "İ" not in text:
-            text = text.lower()
-        return _POINT.sub(r" \1", text).split()
+            return text.lower().split()
+        return None
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w.isalpha()]
-        if plain:
-            ids = np.array(self.tok.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cut) != len(plain):
-                new, plain = plain + [w for w in new if not w.isalpha()], []
+        """Put the ids of new words into the cache: of letters alone in one batch, of others from their pre-tokens."""
+        cache = self.cache
+        made: dict[str, list[str]] = {}
+        plain: set[str] = set()
+        rest = []
+        for w in new:
+            base = w[:-1] if w[-1] in ".," else w
+            if base.isalpha() and (base.isascii() or max(base) < _OLD):
+                plain.add(base)
+                if base is not w:
+                    made[w] = [base, w[-1]]
+            elif w.isascii():
+                made[w] = _ASCII_PRE_TOKENS.findall(w)
+                plain.update(made[w])
             else:
-                stored, begin = ids.tobytes(), 0
-                for w, end in zip(plain, cut.tolist()):
-                    self.cache[w] = stored[begin:end]
-                    begin = end
-        rest = [w for w in new if not w.isalpha()] if plain else new
+                rest.append(w)
+        plain.update(".,")
+        words = [w for w in plain if w not in cache]
+        if words:
+            joined = " ".join(words).encode().decode("latin1").translate(self.letters)
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cut) != len(words):
+                raise ValueError("the tokenizer's words don't end where they should")
+            stored = ids.tobytes()
+            cache.update(zip(words, (stored[a:b] for a, b in zip([0, *cut], cut))))
+        for w, parts in made.items():
+            cache[w] = b"".join([cache[x] for x in parts])
         for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
-            self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -87,7 +128,7 @@ class WordTokenizer:
         new = set().union(*(s for s in split if s)).difference(cache)
         if new:
             self._learn(list(new))
-        return [self._whole(t) if s is None else b"".join([cache[w] for w in s]) for t, s in zip(texts, split)]
+        return [self._whole(t) if s is None else b"".join(map(cache.__getitem__, s)) for t, s in zip(texts, split)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -159,41 +200,59 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
-def pack(pieced: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", partition_tokens: int = PARTITION_TOKENS, fan_in: int = FAN_IN) -> DataFrame:
-    """Add sequence_id, offset, bins and bound (of the partition that closed the sequence) to each piece.
+def pack(pieced: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
+    """Add sequence_id, offset, bins and bound (of the partition that made the sequence) to each piece.
 
-    Repeated rows and null ids are packed like any other; an empty table stays empty."""
+    Repeated rows and null ids are packed like any other; an empty table stays empty.
+    Only counts by length (at most `capacity` rows) and a few sums reach the driver."""
     kind = pieced.schema[id_col].dataType.simpleString()
     rows = pieced.select(F.col(id_col).alias("id"), "piece", "start", "length", "ids_crc32")
     schema = f"id {kind}, {PIECES}, sequence_id long, offset long, bins long, bound long, open boolean"
-    total = rows.agg(F.sum("length")).first()[0] or 0
-    parts, done, step = max(1, round(total / partition_tokens)), [], 0
+    counts = rows.groupBy("length").count().collect()
+    size, n = np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts], np.int64)
+    least, tokens, items, before = lower_bound(size, n, capacity), int((size * n).sum()), int(n.sum()), None
+    done: list[DataFrame] = []
+    closed, step = 0, 0
     while True:
-        last = parts == 1
-
+        parts = max(1, -(-tokens // partition_tokens), -(-items // PARTITION_PIECES))
         dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.lit(step)), F.lit(parts)).cast("int"))
-        packed = written(dealt.groupBy("part").applyInPandas(_packer(capacity, step, last), schema), f"packed{step}")
-        done.append(packed.where("not open").drop("open"))
-        if last:
+        packed = written(dealt.groupBy("part").applyInPandas(_packer(capacity, step), schema), f"packed{step}")
+        first = F.col("offset") == 0
+        shut, left, tokens, items = packed.agg(F.count_if(first & ~F.col("open")), F.count_if(first & F.col("open")), F.sum(F.when(F.col("open"), F.col("length"))), F.count_if("open")).first()
+        closed += shut
+        if not left or parts == 1 or closed + left <= least or before is not None and shut + left >= before:
+            done.append(packed.drop("open"))
             break
-        rows = packed.where("open").select("id", "piece", "start", "length", "ids_crc32")
-        parts, step = max(1, parts // fan_in), step + 1
+        done.append(packed.where("not open").drop("open"))
+        rows, before, step = packed.where("open").select("id", "piece", "start", "length", "ids_crc32"), left, step + 1
     out = functools.reduce(DataFrame.unionByName, done)
     return out.withColumnRenamed("id", id_col)
 
 
-def _packer(capacity: int, step: int, last: bool):
+def _packer(capacity: int, step: int):
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns="part").sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         size = pdf["length"].to_numpy()
         bins, offset, fill = best_fit_decreasing(size, capacity)
         bound = lower_bound(*np.unique(size, return_counts=True), capacity)
-        loose = fill < capacity - int(capacity * SLACK)
-        return pdf.assign(sequence_id=(step << 58) + (int(key[0]) << 26) + bins, offset=offset, bins=len(fill), bound=bound, open=False if last else loose[bins])
+        if len(fill) > bound:
+            loose = fill < capacity - int(capacity * SLACK)
+        else:
+            # certified; where only the sum of the lengths bounds it, its emptiest bin may still fill up elsewhere
+            loose = np.zeros(len(fill), dtype=bool)
+            loose[np.argmin(fill)] = bound == -(-int(size.sum()) // capacity) and fill.min() < capacity // 2
+        return pdf.assign(sequence_id=(step << 58) + (int(key[0]) << 26) + bins, offset=offset, bins=len(fill), bound=bound, open=loose[bins])
 
     return one
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """How many sequences there are, and the fewest that any packing of these pieces has."""
+    counts = packed.groupBy("length").count().collect()
+    least = lower_bound(np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts], np.int64), capacity)
+    return packed.where("offset = 0").count(), least
+
+
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """pieces(), written, then pack()."""
     return pack(written(pieces(docs, tokenizer_file, capacity, id_col, text_col), "pieces"), capacity, id_col, **kw)

@@ -202,8 +202,7 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORD_TOKENIZER)
-    tok.encode_special_tokens = True
-    out = packing.pack_documents(docs, WORD_TOKENIZER, capacity=128, partition_tokens=1024, fan_in=2).collect()
+    out = packing.pack_documents(docs, WORD_TOKENIZER, capacity=128, partition_tokens=1024).collect()
     want = collections.Counter()
     for i, t in texts_of(docs):
         ids = np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4")
@@ -224,6 +223,45 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, WORD_TOKENIZER).count() == 0
 
 
+ODD = ["a.", "..", ".,", "a.b.", "12,5. 3.14, x9y", "rock''s 's 't we'll", "<|endoftext|> x", "a<|startoftext|>", "ñandú. ß. é,", "日本. 語,", "Ωmega. ΑΣ", "\x1c\x85 odd x", "e\u0301 x", "x\u00ad.y.", "ab\u200bc.", "ı. 5. $.", "𝒳. . ,", "a_b_. __.", "\u0600 \u10fb. ꙮ,"]
+
+
+def test_word_tokenizer():
+    """Ids by words, with a small cache, are those of the untouched tokenizer; so are those under another kind of file."""
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(WORD_TOKENIZER), packing.WordTokenizer(WORD_TOKENIZER)
+    assert own.by_word and tok.encode("<|endoftext|> x", add_special_tokens=False).ids[0] == 49407
+    texts = [t or "" for t in TEXTS] + ODD
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode(texts) == want and [own.encode([t])[0] for t in texts] == want
+    own.by_word = False
+    assert own.encode(texts) == want
+
+
+def pieces_of(spark, lengths):
+    return spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
+def test_packing_certified(spark):
+    """Pieces of just over half a sequence can't share one: every partition is certified and nothing is handed on."""
+    out = packing.pack(pieces_of(spark, [2100] * 3000), partition_tokens=2100 * 300)
+    assert packing.certificate(out) == (3000, 3000)
+    assert {r[0] >> 58 for r in out.select("sequence_id").collect()} == {0}
+    assert out.where("bins <> bound").count() == 0
+
+
+def test_packing_exchanges_until_nothing_is_gained(spark):
+    """Partitions with a gap exchange pieces; the last round has no partition beyond its bound of tokens."""
+    rng = np.random.default_rng(8)
+    lengths = [int(x) for x in rng.integers(300, 1800, 4000)]
+    out = packing.pack(pieces_of(spark, lengths), partition_tokens=4096 * 64).cache()
+    n, least = packing.certificate(out)
+    assert least <= n <= 1.02 * least and out.count() == 4000
+    assert max(r[0] for r in out.groupBy("sequence_id").sum("length").select("sum(length)").collect()) <= 4096
+    assert max(r[0] >> 58 for r in out.select("sequence_id").collect()) >= 1
+
+
 def test_lower_bound_sees_large_items():
     assert packing.lower_bound(np.array([60]), np.array([5]), 100) == 5
     assert packing.lower_bound(np.array([34, 50]), np.array([4, 1]), 100) >= 2
