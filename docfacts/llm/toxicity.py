@@ -1,16 +1,21 @@
 """Compression-distance classification of toxic text.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled rows, one on
-toxic and one on ordinary text. Both begin with the same trained content; to that
-each adds the byte strings that its own class shows significantly more often. Every
-window of a text is compressed with both: a window that is shorter under the toxic
-dictionary is evidence. Thresholds on the differences turn windows into counts and
-a logistic calibration, fitted on the same sample, turns those into a score."""
+Two zstandard dictionaries are trained on a bounded sample of labelled rows: one on
+ordinary texts, one on toxic texts. As most of a toxic text is ordinary language, the
+toxic dictionary is trained on those of its words that ordinary texts show
+significantly less often, and has the ordinary dictionary before it, so that ordinary
+words cost the same under both. Every window of a text is compressed with both: a
+window that is shorter under the toxic dictionary is evidence. Thresholds on the
+differences turn windows into counts, and a logistic calibration turns those into a
+score. It is fitted across parts of the sample, each part measured with a dictionary
+of the others, and corrected for the share of toxic rows among all labelled ones."""
 
 from __future__ import annotations
 
+import collections
 import functools
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docfacts.llm.common import LOWER, slices
+from docfacts.llm.common import LOWER, Words, slices, windows_of
 
 #: The fit reads at most so many labelled rows of each class (chosen by a hash of
 #: their id), each of at most so many bytes.
@@ -27,19 +32,21 @@ SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 1 << 15
 WINDOW, STEP = 40, 28
 LEVEL = 3
-#: A byte string is added to a class's dictionary if it is in so many of its texts
-#: and its share differs from the other class's by so many standard errors.
-GRAMS = (8, 6, 5)
-MIN_TEXTS, MIN_Z = 6, 6.0
-ADDED_BYTES, BASE_BYTES = 4096, 8192
+ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
+#: A word tells a class if the likelihood ratio of it, or of its first bytes, is this much in favour.
+MIN_RATIO, PREFIXES = 16.0, (5, 8, 12)
+#: A text of the sample with this part of its shingles in texts before it is a copy and counts no more.
+COPY = 0.5
 THRESHOLDS = (2, 3, 4, 5)
+#: The calibration measures each of so many parts of the sample with a dictionary of the others.
+PARTS = 4
+_WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
 @dataclass(frozen=True)
 class Model:
-    base: bytes
-    toxic: bytes
     ordinary: bytes
+    toxic: bytes
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]
@@ -49,7 +56,7 @@ class Model:
 def _compressor(content: bytes):
     import zstandard as z
 
-    params = z.ZstdCompressionParameters.from_level(LEVEL, window_log=15, write_content_size=False, write_checksum=False, write_dict_id=False)
+    params = z.ZstdCompressionParameters.from_level(LEVEL, window_log=18, write_content_size=False, write_checksum=False, write_dict_id=False)
     return z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT))
 
 
@@ -60,7 +67,7 @@ def windows(text: bytes) -> list[bytes]:
 
 def differences(model: Model, text: bytes) -> np.ndarray:
     """Bytes that each window saves under the toxic dictionary against the ordinary one."""
-    toxic, ordinary = _compressor(model.base + model.toxic).compress, _compressor(model.base + model.ordinary).compress
+    toxic, ordinary = _compressor(model.ordinary + model.toxic).compress, _compressor(model.ordinary).compress
     return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text.translate(LOWER))], dtype=np.int64)
 
 
@@ -71,78 +78,87 @@ def features(model: Model, text: bytes) -> list[float]:
     return [float(min(d.max(), 8)), *(math.log1p(h) for h in hits), *(min(1.0, 20 * h / n) for h in hits), math.log(n), float(np.clip(d, -2, 8).mean())]
 
 
-def _grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-byte strings of texts, packed in 64 bits, and in how many texts each is."""
-    each = []
+def first_copies(texts: list[bytes]) -> list[bytes]:
+    """texts without those that are, mostly, copies of texts before them."""
+    seen: set[int] = set()
+    out = []
     for t in texts:
-        b = np.frombuffer(t, dtype=np.uint8).astype(np.uint64)
-        if len(b) >= n:
-            g = np.zeros(len(b) - n + 1, dtype=np.uint64)
-            for j in range(n):
-                g = (g << np.uint64(8)) | b[j : j + len(g)]
-            each.append(np.unique(g))
-    return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def _over(own: list[bytes], other: list[bytes], n: int, min_z: float) -> list[tuple[float, bytes]]:
-    g, k = _grams(own, n)
-    h, m = _grams(other, n)
-    keep = k >= MIN_TEXTS
-    g, k = g[keep], k[keep]
-    if not len(g):
-        return []
-    at = np.searchsorted(h, g)
-    found = (at < len(h)) & (h[np.minimum(at, len(h) - 1)] == g) if len(h) else np.zeros(len(g), bool)
-    m = np.where(found, m[np.minimum(at, max(0, len(h) - 1))], 0) if len(h) else np.zeros(len(g))
-    a, b = max(1, len(own)), max(1, len(other))
-    pool = (k + m) / (a + b)
-    z = (k / a - m / b) / np.sqrt(pool * (1 - pool) * (1 / a + 1 / b) + 1e-12)
-    return [(float(z[i]), int(g[i]).to_bytes(n, "big")) for i in np.flatnonzero(z >= min_z)]
-
-
-def _added(own: list[bytes], other: list[bytes], min_z: float = MIN_Z) -> bytes:
-    """The most telling strings of a class, none sharing a long part with a stronger one; the strongest last."""
-    found = sorted((x for n in GRAMS for x in _over(own, other, n, min_z)), key=lambda x: (-round(x[0]), -len(x[1]), x[1]))
-    out: list[bytes] = []
-    seen: set[bytes] = set()
-    size = 0
-    for _, g in found:
-        inner = {g[i : i + 5] for i in range(len(g) - 4)}
-        if inner <= seen or size + len(g) > ADDED_BYTES:
-            continue
-        seen |= inner
-        out.append(g)
-        size += len(g)
-    return b"".join(reversed(out))
-
-
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """Train both dictionaries and calibrate. With a class missing, the score is the other class's share."""
+        w = Words([t], lower=True).hashes()
+        g = set((windows_of(w, min(5, max(1, len(w)))) if len(w) else w).tolist())
+        if len(g & seen) <= COPY * len(g) if g else not out:
+            out.append(t)
+        seen |= g
+    return out
+
+
+def _keys(word: bytes) -> set[bytes]:
+    return {word[:n] for n in PREFIXES}
+
+
+def _telling(own: list[bytes], other: list[bytes]) -> set[bytes]:
+    """The words, or beginnings of words, that are in significantly more of `own` texts than of `other` (likelihood ratio of two shares)."""
+    a, b = (collections.Counter(k for t in texts for k in set().union(*map(_keys, set(_WORD.findall(t))))) for texts in (own, other))
+    share = len(own) / max(1, len(own) + len(other))
+    out = set()
+    for key, k in a.items():
+        m = b.get(key, 0)
+        e = (k + m) * share
+        if k > e and 2 * (k * math.log(k / e) + (m * math.log(m / (k + m - e)) if m else 0.0)) >= MIN_RATIO:
+            out.add(key)
+    return out
+
+
+def _train(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A dictionary's content by zstandard's trainer; the samples themselves where they are too few to train on."""
     import zstandard as z
 
-    toxic, ordinary = [t.translate(LOWER) for t in toxic], [t.translate(LOWER) for t in ordinary]
-    samples = [w for t in ordinary for w in (t[i : i + 512] for i in range(0, len(t), 512))]
     try:
-        base = z.train_dictionary(BASE_BYTES, samples, k=64, d=8, level=LEVEL).as_bytes()[-BASE_BYTES:]
-    except z.ZstdError:  # too little text to train on
-        base = b"".join(samples)[:BASE_BYTES]
-    model = Model(base, _added(toxic, ordinary) or b" ", _added(ordinary, toxic, 4.0) or b" ", (), (), ())
-    # the texts that chose the strings would flatter them: cross-fitted features for the calibration
+        return z.train_dictionary(size, samples, k=k, d=d, split_point=1.0, level=LEVEL).as_bytes()[-size:]
+    except z.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size] or b" "
+
+
+def train_ordinary(ordinary: list[bytes]) -> bytes:
+    return _train([t[i : i + 512] for t in ordinary for i in range(0, len(t), 512)], ORDINARY_BYTES, 64, 8)
+
+
+def train_toxic(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """Trained on toxic texts: on each occurrence of a word that tells them from ordinary ones."""
+    telling = _telling(toxic, ordinary)
+    return _train([b" " + w + b" " for t in toxic for w in _WORD.findall(t) if not telling.isdisjoint(_keys(w))], TOXIC_BYTES, 32, 6)
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], labelled: tuple[int, int] | None = None) -> Model:
+    """Train both dictionaries and calibrate; labelled: how many rows of each class there are in all.
+
+    With a class missing, every score is the other class's share."""
+    toxic, ordinary = [t.translate(LOWER) for t in toxic], [t.translate(LOWER) for t in ordinary]
+    n1, n0 = labelled or (len(toxic), len(ordinary))
+    toxic, ordinary = first_copies(toxic), first_copies(ordinary)
+    model = Model(train_ordinary(ordinary), train_toxic(toxic, ordinary), (), (), ())
+    # the texts that trained a dictionary would flatter it: each part is measured with one of the other parts
     rows, y = [], []
-    for half in (0, 1):
-        own = Model(base, _added(toxic[1 - half :: 2], ordinary[1 - half :: 2], MIN_Z / math.sqrt(2)) or b" ", model.ordinary, (), (), ())
-        for label, texts in ((1, toxic[half::2]), (0, ordinary[half::2])):
+    for part in range(PARTS):
+        others = ([t for i, t in enumerate(texts) if i % PARTS != part] for texts in (toxic, ordinary))
+        own = Model(model.ordinary, train_toxic(*others), (), (), ())
+        for label, texts in ((1, toxic[part::PARTS]), (0, ordinary[part::PARTS])):
             rows += [features(own, t) for t in texts]
             y += [label] * len(texts)
     y = np.array(y, dtype=float)
     if not len(y) or y.min() == y.max():
-        share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
+        share = (n1 + 0.5) / (n1 + n0 + 1)
         width = len(features(model, b""))
-        return Model(base, model.toxic, model.ordinary, (0.0,) * width, (1.0,) * width, (*((0.0,) * width), math.log(share / (1 - share))))
+        return Model(model.ordinary, model.toxic, (0.0,) * width, (1.0,) * width, (*((0.0,) * width), math.log(share / (1 - share))))
     x = np.array(rows, dtype=float)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     w = logistic((x - mean) / scale, y)
-    return Model(base, model.toxic, model.ordinary, tuple(mean), tuple(scale), tuple(w))
+    w[-1] += prior_shift(y, n1, n0)
+    return Model(model.ordinary, model.toxic, tuple(mean), tuple(scale), tuple(w))
+
+
+def prior_shift(y: np.ndarray, n1: int, n0: int) -> float:
+    """What the intercept of a fit on labels y lacks where n1 and n0 rows of the classes are labelled in all."""
+    return math.log((n1 + 0.5) / (n0 + 0.5)) - math.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -166,22 +182,21 @@ def score(model: Model, text: bytes) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", where=None) -> tuple[list[bytes], list[bytes]]:
-    """Texts of label 1 and of label 0: at most `rows` each, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", where=None) -> tuple[list[bytes], list[bytes], tuple[int, int]]:
+    """Texts of label 1 and of label 0, at most `rows` each, chosen by a hash of the id; and how many ids have each label.
 
     Only the ids chosen, so bounded a number, are broadcast; held-out ids can be
     excluded by `where`, a condition on id_col. Rows with a null id or label, or
-    longer than max_bytes, are not drawn."""
+    longer than max_bytes, are not drawn; of rows that share an id all are."""
     named = labels.select(F.col(id_col), F.col(label).alias("_label")).where(f"{id_col} is not null and _label in (0, 1)")
     if where is not None:
         named = named.where(where)
     named = named.groupBy(id_col).agg(F.max("_label").alias("_label"))
-    out = []
-    for value in (1, 0):
-        ids = named.where(F.col("_label") == value).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-        got = docs.select(id_col, text_col).where(F.octet_length(text_col) <= max_bytes).join(F.broadcast(ids), id_col).select(id_col, text_col).collect()
-        out.append([r[1].encode("utf-8") for r in sorted(got, key=lambda r: (r[0], r[1]))])
-    return out[0], out[1]
+    ids = [named.where(F.col("_label") == v).select(id_col, "_label").orderBy(F.xxhash64(id_col), id_col).limit(rows) for v in (1, 0)]
+    n = {r[0]: r[1] for r in named.groupBy("_label").count().collect()}
+    got = docs.select(id_col, text_col).where(F.octet_length(text_col) <= max_bytes).join(F.broadcast(ids[0].union(ids[1])), id_col).select("_label", text_col, F.xxhash64(id_col).alias("_h"), id_col).collect()
+    got.sort(key=lambda r: (r[2], r[3], r[1]))
+    return *([r[1].encode("utf-8") for r in got if r[0] == v] for v in (1, 0)), (n.get(1, 0), n.get(0, 0))
 
 
 def learn(docs: DataFrame, labels: DataFrame, **kw) -> Model:
