@@ -10,21 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.llm import jaccard, packing, quality_classifier, suffix_dedup, toxicity
-from docfacts.llm.common import table, written
+from docfacts.llm.common import fresh, table, written
 from docfacts.llm.queries import WORD_TOKENIZER
 
 TOXIC = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows whose posterior quality is at least one half; null texts are judged as empty."""
-    return quality_classifier.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Keeps the rows whose posterior quality is at least one half; null texts are judged as empty.
+
+    Learns from the labelled rows of the original table."""
+    out = tuple(fresh(docs.columns, c) for c in quality_classifier.OUT)
+    judged = quality_classifier.judge(docs, table(spark, sf_dir, "labels"), out=out, train=table(spark, sf_dir, "documents"))
+    return judged.where(F.col(out[3])).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows whose toxicity score is under TOXIC."""
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.add_score(docs, model, score_col="_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    """Keeps the rows whose toxicity score is under TOXIC; learns from the labelled rows of the original table."""
+    model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    score = fresh(docs.columns, "toxicity")
+    return toxicity.add_score(docs, model, score_col=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

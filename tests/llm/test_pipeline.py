@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -49,15 +50,14 @@ def test_decisions(spark, monkeypatch):
 
     q = quality_classifier
     model = q.learn(docs, labels)
-    rates, mean = q.site_rates(q.add_evidence(docs, model), "source", "lang")
-    rates = {(r["_h"], r["_p"]): r["rate"] for r in rates.collect()}
+    rates, mean = q.site_rates(docs, labels, "source", "lang")
+    rates = {tuple(r)[:3]: r["rate"] for r in rates.collect()}
     logit = lambda p: math.log(p / (1 - p))
     want = set()
     for i, t, h, p in rows:
         s = float(((q.evidence([t]) - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weights)[:-1])[0] + model.weights[-1])
         s = min(max(s, logit(1e-6)), logit(1 - 1e-6))
-        shift = q.SITE_WEIGHT * (logit(min(max(rates[h, p], 1e-6), 1 - 1e-6)) - logit(mean))
-        if 1 / (1 + math.exp(-s - min(max(shift, -q.SITE_MOST), q.SITE_MOST))) >= q.THRESHOLD:
+        if 1 / (1 + math.exp(-s - logit(rates[h, p, zlib.crc32(str(i).encode()) % q.FOLDS]) + logit(mean))) >= q.THRESHOLD:
             want.add(i)
     assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, SF).collect()} == want and 0 < len(want) < len(rows)
 

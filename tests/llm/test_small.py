@@ -117,16 +117,58 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.add_score(empty, model).count() == 0
 
 
-def test_toxicity_trains_on_whole_sample(monkeypatch):
-    """The part common to both dictionaries is trained on every text of the sample, not on its first ones."""
+def test_toxicity_trains_two_dictionaries(monkeypatch):
+    """One dictionary is trained on every ordinary text of the sample, the other on words of toxic texts."""
     import zstandard
 
     seen = []
     train = zstandard.train_dictionary
-    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **kw: seen.extend(samples) or train(size, samples, **kw))
-    ordinary = [f"ordinary text number {i} with a few words".encode() for i in range(toxicity.SAMPLE_ROWS)]
-    toxicity.fit([b"vile words"] * 10, ordinary)
-    assert seen == ordinary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **kw: seen.append(list(samples)) or train(size, samples, **kw))
+    ordinary = [f"ordinary text {i} has {i * 7} words {i * 31}".encode() for i in range(toxicity.SAMPLE_ROWS)]
+    toxic = [f"text {i} of {i * 13} is vileness and {i * 17} dreadful {i * 5} so".encode() for i in range(200)]
+    model = toxicity.fit(toxic, ordinary)
+    assert seen[0] == toxicity.first_copies(ordinary) and len(seen[0]) > 1900
+    assert {b" vileness ", b" dreadful "} <= set(seen[1]) and b" ordinary " not in set(seen[1])
+    assert b"vileness" in model.toxic and b"vileness" not in model.ordinary
+
+
+def test_toxicity_score_is_plain(spark):
+    """add_score against window lengths, counts and calibration computed one by one; ties and long texts."""
+    import zstandard as z
+
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("aeiounrstlm"), 5)) for _ in range(300)]
+    text = lambda bad, n: " ".join("dreadful vileness" if bad and j % 20 == 5 else rng.choice(words) for j in range(n))
+    model = toxicity.fit([text(1, 60).encode() for _ in range(120)], [text(0, 60).encode() for _ in range(300)], (50, 950))
+    rows = [(1, text(1, 60)), (2, text(0, 60)), (3, None), (4, ""), (5, text(1, 40000)), (6, "DREADFUL VILENESS"), (7, "dreadful vileness")]
+    rows.append((8, rows[0][1]))
+    params = z.ZstdCompressionParameters.from_level(toxicity.LEVEL, window_log=18, write_content_size=False, write_checksum=False, write_dict_id=False)
+    length = [lambda w, d=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT): len(z.ZstdCompressor(compression_params=params, dict_data=d).compress(w)) for d in (model.ordinary, model.ordinary + model.toxic)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.add_score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        b = (t or "").encode().lower()
+        if len(b) > 10000:
+            assert got[i] == toxicity.score(model, b)
+            continue
+        d = [length[0](w) - length[1](w) for w in (b[k : k + 40] for k in range(0, max(1, len(b) - 12), 28))]
+        hits = [sum(x >= q for x in d) for q in (2, 3, 4, 5)]
+        x = [min(max(d), 8), *(np.log1p(h) for h in hits), *(min(1, 20 * h / len(d)) for h in hits), np.log(len(d)), np.mean(np.clip(d, -2, 8))]
+        s = sum(w * (v - m) / c for w, v, m, c in zip(model.weights, x, model.mean, model.scale)) + model.weights[-1]
+        assert abs(got[i] - 1 / (1 + np.exp(-s))) < 1e-9
+    assert got[1] == got[8] and got[6] == got[7] and got[3] == got[4] and got[1] > 0.5 > got[2] and got[5] > 0.5
+
+
+def test_toxicity_prior(monkeypatch):
+    """Equal classes in the sample don't move the scores: the share of all labelled rows does."""
+    toxic, ordinary = [b"x y z vile%d" % i for i in range(40)], [b"x y z fine%d" % i for i in range(40)]
+    a, b = toxicity.fit(toxic, ordinary, (40, 40)), toxicity.fit(toxic, ordinary, (40, 4000))
+    assert abs((a.weights[-1] - b.weights[-1]) - np.log(100)) < 0.02 and a.weights[:-1] == b.weights[:-1]
+
+
+def test_copies_count_once():
+    texts = [f"w{i} " * 3 + " ".join(f"t{i}x{j}" for j in range(30)) for i in range(3)]
+    near = texts[0].replace("t0x7", "other")
+    assert toxicity.first_copies([x.encode() for x in (texts[0], near, texts[1], texts[0], texts[2], "", "")]) == [x.encode() for x in texts]
 
 
 def test_quality_rules(docs, empty):
@@ -153,8 +195,8 @@ def test_em_finds_accuracies():
 
 
 def test_quality_classifier(spark, docs, empty):
-    rows = [(i, " ".join(f"{'$$$ ' if i % 4 == 0 else ''}word{(i * j) % 97}," for j in range(40)), f"s{i % 4}", "en") for i in range(200)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    rows = [(i, " ".join(f"{'$$$ ' if i % 4 == 0 else ''}word{(i * j) % 97}," for j in range(40)), f"s{i % 4}", "en", "mine") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kept string")
     lab = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
     out = quality_classifier.judge(d, lab).collect()
     assert all(r["kept"] == (r["doc_id"] % 4 != 0) for r in out)
@@ -162,6 +204,42 @@ def test_quality_classifier(spark, docs, empty):
     assert rate["s0"] < min(rate["s1"], rate["s2"], rate["s3"])
     assert quality_classifier.judge(docs, lab).count() == docs.count()
     assert quality_classifier.judge(empty, lab).count() == 0
+    odd = docs.selectExpr("doc_id", "text", "lang", "source", "1 as h", "2 as f", "3 as site_h", "4 as rate", "5 as n", "6 as s")
+    assert {tuple(r)[4:10] for r in quality_classifier.judge(odd, lab.limit(0)).collect()} == {(1, 2, 3, 4, 5, 6)}
+
+
+def test_site_rates(spark):
+    """Shrunken rates against beta-binomial sums done one by one: sparse sites, nulls, a site without labels, repeated rows."""
+    rng = np.random.default_rng(4)
+    rows, lab = [], {}
+    for i in range(600):
+        h = None if i % 50 == 0 else f"h{min(i % 7, 4)}"
+        rows.append((i, h, f"p{i % 3}" if i % 11 else None))
+        if i % 3 and h != "h4":
+            lab[i] = int(rng.random() < {"h0": 0.2, "h1": 0.9}.get(h, 0.6))
+    rows.append(rows[4])
+    rates, mean = quality_classifier.site_rates(spark.createDataFrame(rows, "doc_id long, host string, path string"), spark.createDataFrame(list(lab.items()), "doc_id long, quality int"), "host", "path")
+    got = {tuple(r)[:3]: r["rate"] for r in rates.collect()}
+    n, s = collections.Counter(), collections.Counter()
+    for i, h, p in rows:
+        if i in lab:
+            n[h, p, zlib.crc32(str(i).encode()) % 5] += 1
+            s[h, p, zlib.crc32(str(i).encode()) % 5] += lab[i]
+    assert abs(mean - (sum(s.values()) + 0.5) / (sum(n.values()) + 1)) < 1e-12
+
+    def strength(groups):  # (n, s, parent)
+        groups = [g for g in groups if g[0]]
+        total, squares = sum(g[0] for g in groups), sum(g[0] ** 2 for g in groups)
+        between = (sum(k * (x / k - m) ** 2 for k, x, m in groups) - (len(groups) - 1) * mean * (1 - mean)) / (total - squares / total)
+        return 1e6 if between <= 0 else min(1e6, max(1.0, mean * (1 - mean) / between - 1))
+
+    sums = lambda c, test: sum(v for k, v in c.items() if test(k))
+    hosts, sites = {h for _, h, _ in rows}, {(h, p) for _, h, p in rows}
+    kh = strength([(sums(n, lambda k: k[0] == h), sums(s, lambda k: k[0] == h), mean) for h in hosts])
+    host = {(h, f): (sums(s, lambda k: k[0] == h and k[2] != f) + kh * mean) / (sums(n, lambda k: k[0] == h and k[2] != f) + kh) for h in hosts for f in range(-1, 5)}
+    kp = strength([(sums(n, lambda k: k[:2] == x), sums(s, lambda k: k[:2] == x), host[x[0], -1]) for x in sites])
+    want = {(*x, f): (sums(s, lambda k: k[:2] == x and k[2] != f) + kp * host[x[0], f]) / (sums(n, lambda k: k[:2] == x and k[2] != f) + kp) for x in sites for f in range(-1, 5)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_media(docs, empty):
