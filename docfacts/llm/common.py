@@ -59,6 +59,13 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the broadcasts and shuffles of plans that are no longer held.
+
+    Spark's cleaner learns of them only when the JVM collects its garbage, by default every half hour."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

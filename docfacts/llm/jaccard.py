@@ -3,21 +3,22 @@
 Documents are sets of word shingles. An inverted index over each set's prefix, its
 rarest shingles, joins every two sets that can be similar. A first pass compares each
 set with the one it shares most with; what links falls into groups of similar
-documents. The matrix of shingles against groups then has few columns: two groups of
-different components that share an index entry are compared by the union of their
-shingles, and only where that bound allows a link are they opened, member by member."""
+documents. For each group the union of its members' shingles is stored once, as a
+bitmap of hashes, beside small bitmaps of the members. The matrix of shingles against
+groups has few columns: of two groups of different components that share an index entry,
+each member of one is held against the other's union, which bounds its overlap with any
+member there. Only groups of pairs that the bounds let through are opened: their texts
+are fetched and compared member by member."""
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import Words, mix, slices, windows_of, written
+from docfacts.llm.common import Words, mix, release, slices, windows_of, written
 from docfacts.llm.graph import components, extend
 
 SHINGLE, PERCENT = 5, 80
@@ -75,6 +76,34 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """A bitmap of a set: the bits of its hashes modulo a power of two of 2 to 4 times its size, 64 at least."""
+    m = 1 << max(6, (2 * len(s) - 1).bit_length())
+    bits = np.zeros(m, dtype=bool)
+    bits[(s & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap brought down to `size` bytes: bits that are alike modulo fewer bits fall together."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def union_of(sketches: list[bytes]) -> bytes:
+    """The bitmap of the union, at the size of the smallest."""
+    size = min(map(len, sketches))
+    return np.bitwise_or.reduce([folded(np.frombuffer(x, np.uint8), size) for x in sketches]).tobytes()
+
+
+def most_shared(n: int, sketch: bytes, union: bytes) -> int:
+    """No subset of the union shares more than this with the set of n: each bit that the union lacks is a shingle that it lacks."""
+    size = min(len(sketch), len(union))
+    q, u = folded(np.frombuffer(sketch, np.uint8), size), folded(np.frombuffer(union, np.uint8), size)
+    return n - int(np.bitwise_count(q & ~u).sum())
+
+
 # passes over the texts
 
 
@@ -200,7 +229,7 @@ _LISTS = "key long, split boolean, fps array<bigint>, ns array<bigint>, rs array
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(fp, n, z): the compressed text of one row for each wanted set; equal sets are combined on the map side."""
+    """(fp, n, z, bits): the compressed text of one row for each wanted set, and its bitmap; equal sets are combined on the map side."""
 
     def run(it):
         import zstandard
@@ -213,13 +242,13 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 fp = set_id(s)
                 if len(s) and fp not in known:
                     known.add(fp)
-                    rows.append((fp, len(s), pack(t)))
+                    rows.append((fp, len(s), pack(t), sketch_of(s)))
             if len(known) > 1 << 18:
                 known.clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["fp", "n", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["fp", "n", "z", "bits"])
 
-    texts = docs.mapInArrow(run, "fp long, n long, z binary").groupBy("fp").agg(F.first("n").alias("n"), F.first("z").alias("z"))
+    texts = docs.mapInArrow(run, "fp long, n long, z binary, bits binary").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "z", "bits")))
     return texts.join(wanted, "fp", "left_semi")
 
 
@@ -280,6 +309,35 @@ def _compare_pairs(pairs: DataFrame, groups: DataFrame, k: int, percent: int) ->
     return _open(pairs.join(left, "ga").join(right, "gb"), k, percent)
 
 
+def _unions(sketches: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(g, least, union, sets): each group's union, once, and its members' sizes and bitmaps."""
+
+    def run(it):
+        for batch in it:
+            sets = batch.column(1).to_pylist()
+            least, union = [min(m["n"] for m in x) for x in sets], [union_of([m["bits"] for m in x]) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.int64()), pa.array(union, pa.binary()), batch.column(1)], names=["g", "least", "union", "sets"])
+
+    of = sketches.join(grouped, "fp", "left").select(F.coalesce("g", "fp").alias("g"), F.struct("n", "bits").alias("m"))
+    return of.groupBy("g").agg(F.collect_list("m").alias("sets")).mapInArrow(run, "g long, least long, union binary, sets array<struct<n:bigint,bits:binary>>")
+
+
+def _bounded(pairs: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
+    """The pairs (ga, gb) that may link: on both sides some member shares enough with the other's union."""
+
+    def may(sets, union, least):
+        return any(most_shared(m["n"], m["bits"], union) >= needed(max(m["n"], least), percent) for m in sets)
+
+    def run(it):
+        for batch in it:
+            c = {f.name: batch.column(i).to_pylist() for i, f in enumerate(batch.schema)}
+            keep = [may(sa, ub, lb) and may(sb, ua, la) for sa, ua, la, sb, ub, lb in zip(c["sa"], c["ua"], c["la"], c["sb"], c["ub"], c["lb"])]
+            yield batch.select(["ga", "gb"]).filter(pa.array(keep, pa.bool_()))
+
+    a, b = (unions.select(F.col("g").alias(f"g{x}"), F.col("least").alias(f"l{x}"), F.col("union").alias(f"u{x}"), F.col("sets").alias(f"s{x}")) for x in "ab")
+    return pairs.join(a, "ga").join(b, "gb").select("ga", "gb", "sa", "ua", "la", "sb", "ub", "lb").mapInArrow(run, "ga long, gb long")
+
+
 def _groups(labels: DataFrame, entries: int) -> DataFrame:
     """(fp, comp, g): components as groups of similar documents; large ones in parts of about half GROUP sets.
 
@@ -310,9 +368,10 @@ def _chain(row: DataFrame, percent: int, turn: int) -> DataFrame:
     nxt = row.withColumn("x", F.lead(F.struct("g", "comp", "least", "most", "rest")).over(w)).where("x is not null and x.comp <> comp")
     nxt = nxt.select("g", "least", "most", "rest", F.col("x.g").alias("h"), F.col("x.least").alias("l2"), F.col("x.most").alias("m2"), F.col("x.rest").alias("r2")).where(_can_link("least", "most", "rest", "l2", "m2", "r2", percent))
     pair = nxt.groupBy(F.least("g", "h").alias("ga"), F.greatest("g", "h").alias("gb")).agg(F.count(F.lit(1)).alias("n"))
-    order = F.struct("n", F.xxhash64("ga", "gb"))
-    best = [pair.groupBy(c).agg(F.max_by(F.struct("ga", "gb"), o).alias("x")).select("x.ga", "x.gb") for c in ("ga", "gb") for o in (order, F.xxhash64("gb", "ga"), F.xxhash64("gb", "ga", F.lit(1)))]
-    return functools.reduce(DataFrame.union, best).distinct()
+    ends = pair.select(F.explode(F.array("ga", "gb")).alias("end"), F.struct("ga", "gb").alias("x"), "n")
+    orders = (F.struct("n", F.xxhash64("x")), F.xxhash64("x", "end"), F.xxhash64("end", "x", F.lit(1)))
+    best = ends.groupBy("end").agg(*(F.max_by("x", o).alias(f"x{i}") for i, o in enumerate(orders)))
+    return best.select(F.explode(F.array("x0", "x1", "x2")).alias("x")).select("x.ga", "x.gb").distinct()
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
@@ -374,8 +433,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = texts.select(F.col("fp").alias("g"), F.array(F.struct("fp", "n", "z")).alias("members"))
     links = written(_compare_pairs(pairs, single, shingle, percent), "links")
     tried, labels, turn, useful = pairs, components(links, rows=entries), 0, True
+    sketches, texts = texts.select("fp", "n", "bits"), texts.select("fp", "n", "z")
+
+    def look(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The pairs that the unions' bounds let through, and the links that opening them finds."""
+        opened = written(_bounded(pairs, unions, percent), name, entries)
+        return opened, written(_compare_pairs(opened, _members(texts, grouped, opened), shingle, percent), "links")
+
     while True:
+        release(spark)
         grouped = _groups(labels, entries)
+        unions = written(_unions(sketches, grouped), "unions")
         row = _matrix(lists, grouped, entries)
         n, ahead = row.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("comp").alias("c")).agg(F.sum("n"), F.sum(F.expr("c * (c - 1) / 2"))).first()
         if not useful or (ahead or 0) <= EXHAUSTIVE * (n or 0):
@@ -383,17 +451,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         turn += 1
         # many components meet under the same entries: join what is alike before all of them are paired
         some = written(_untried(_chain(row, percent, turn), tried), "chain", entries)
-        more = written(_compare_pairs(some, _members(texts, grouped, some), shingle, percent), "links")
-        useful = more.count() >= YIELD * some.count() > 0
+        opened, more = look(some, "opened")
+        useful = more.count() >= YIELD * opened.count() > 0
         tried = tried.union(some)
         labels = extend(labels, more, rows=entries)
 
     # second pass: all groups of different components that share an index entry
     a, b = (row.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("g", "comp", "least", "most", "rest"))) for p in "ab")
     cross = a.join(b, "key").where((F.col("ag") < F.col("bg")) & (F.col("acomp") != F.col("bcomp")) & _can_link("aleast", "amost", "arest", "bleast", "bmost", "brest", percent))
-    cross = written(_untried(cross.select(F.col("ag").alias("ga"), F.col("bg").alias("gb")).distinct(), tried), "cross")
-    more = written(_compare_pairs(cross, _members(texts, grouped, cross), shingle, percent), "links")
+    _, more = look(_untried(cross.select(F.col("ag").alias("ga"), F.col("bg").alias("gb")).distinct(), tried), "cross")
     labels = extend(labels, more, rows=entries)
+    release(spark)
 
     # the smallest id of each component
     smallest = base.where("fp <> 0").groupBy("fp").agg(F.min("id").alias("least")).join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))

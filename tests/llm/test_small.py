@@ -444,6 +444,38 @@ def test_jaccard_chains(spark, monkeypatch, sketch):
     assert collections.Counter(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
+@pytest.mark.parametrize(("size", "group", "ahead", "sketch"), [(4, 3, 0.1, 1), (64, 32, 1, 1 << 12), (2048, 2, 0.01, 16)])
+def test_jaccard_drift(spark, monkeypatch, size, group, ahead, sketch):
+    """Texts that drift word by word, with exact copies that level the frequencies: no link is lost, whatever the sizes of lists and groups."""
+    for name, value in (("LIST", size), ("GROUP", group), ("EXHAUSTIVE", ahead), ("SKETCH", sketch), ("SKETCH_ROWS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(size)
+    rows = []
+    for family in range(25):
+        w = [f"f{family}w{j}" for j in range(int(rng.integers(20, 90)))]
+        for step in range(int(rng.integers(2, 9))):
+            for j in rng.choice(len(w), int(rng.integers(0, 1 + len(w) // 30)) + 1, replace=False):
+                w[j] = f"f{family}s{step}x{j}"
+            rows += [" ".join(w)] * int(rng.integers(1, 4))
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(rows)), rows)]
+    want = plain_components(rows)
+    assert len({c for _, _, c in want}) > 25
+    assert collections.Counter(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_union_bound():
+    """A union's bitmap never says less than what any of its members shares, at any size; it tells unlike sets apart."""
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    for _ in range(200):
+        members = [np.unique(rng.choice(pool, int(rng.integers(1, 300)))) for _ in range(int(rng.integers(1, 6)))]
+        q = np.unique(np.concatenate([rng.choice(m, len(m) // 2) for m in members] + [rng.choice(pool, 5)]))
+        bound = jaccard.most_shared(len(q), jaccard.sketch_of(q), jaccard.union_of([jaccard.sketch_of(m) for m in members]))
+        assert max(len(np.intersect1d(q, m)) for m in members) <= bound <= len(q)
+    a, b = (rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(2))
+    assert jaccard.most_shared(300, jaccard.sketch_of(a), jaccard.sketch_of(b)) < jaccard.needed(300)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
