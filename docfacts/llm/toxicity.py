@@ -12,7 +12,6 @@ of the others, and corrected for the share of toxic rows among all labelled ones
 
 from __future__ import annotations
 
-import collections
 import functools
 import math
 import re
@@ -91,21 +90,28 @@ def first_copies(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def _keys(word: bytes) -> set[bytes]:
-    return {word[:n] for n in PREFIXES}
+def _keys(word: bytes) -> set[int]:
+    """Numbers of the word and its beginnings."""
+    return {hash(word[:n]) for n in PREFIXES}
 
 
-def _telling(own: list[bytes], other: list[bytes]) -> set[bytes]:
-    """The words, or beginnings of words, that are in significantly more of `own` texts than of `other` (likelihood ratio of two shares)."""
-    a, b = (collections.Counter(k for t in texts for k in set().union(*map(_keys, set(_WORD.findall(t))))) for texts in (own, other))
-    share = len(own) / max(1, len(own) + len(other))
-    out = set()
-    for key, k in a.items():
-        m = b.get(key, 0)
-        e = (k + m) * share
-        if k > e and 2 * (k * math.log(k / e) + (m * math.log(m / (k + m - e)) if m else 0.0)) >= MIN_RATIO:
-            out.add(key)
-    return out
+def _numbers(texts: list[bytes]) -> list[np.ndarray]:
+    """The numbers of the words and beginnings of words of each text, each once."""
+    return [np.array(sorted(set().union(*map(_keys, set(_WORD.findall(t))))), dtype=np.int64) for t in texts]
+
+
+def _telling(own: list[np.ndarray], other: list[np.ndarray]) -> set[int]:
+    """The numbers that are in significantly more of `own` texts than of `other` (likelihood ratio of two shares)."""
+    if not own:
+        return set()
+    a, k = np.unique(np.concatenate(own), return_counts=True)
+    b, n = np.unique(np.concatenate([*other, np.zeros(0, np.int64)]), return_counts=True)
+    at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
+    m = np.where(b[at] == a, n[at], 0) if len(b) else np.zeros(len(a), np.int64)
+    share = len(own) / (len(own) + len(other))
+    e, f = (k + m) * share, (k + m) * (1 - share)
+    ratio = 2 * (k * np.log(k / e) + m * np.log(np.maximum(m, 1) / np.maximum(f, 1e-9)))
+    return set(a[(k > e) & (ratio >= MIN_RATIO)].tolist())
 
 
 def _train(samples: list[bytes], size: int, k: int, d: int) -> bytes:
@@ -122,9 +128,8 @@ def train_ordinary(ordinary: list[bytes]) -> bytes:
     return _train([t[i : i + 512] for t in ordinary for i in range(0, len(t), 512)], ORDINARY_BYTES, 64, 8)
 
 
-def train_toxic(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+def train_toxic(toxic: list[bytes], telling: set[int]) -> bytes:
     """Trained on toxic texts: on each occurrence of a word that tells them from ordinary ones."""
-    telling = _telling(toxic, ordinary)
     return _train([b" " + w + b" " for t in toxic for w in _WORD.findall(t) if not telling.isdisjoint(_keys(w))], TOXIC_BYTES, 32, 6)
 
 
@@ -135,12 +140,13 @@ def fit(toxic: list[bytes], ordinary: list[bytes], labelled: tuple[int, int] | N
     toxic, ordinary = [t.translate(LOWER) for t in toxic], [t.translate(LOWER) for t in ordinary]
     n1, n0 = labelled or (len(toxic), len(ordinary))
     toxic, ordinary = first_copies(toxic), first_copies(ordinary)
-    model = Model(train_ordinary(ordinary), train_toxic(toxic, ordinary), (), (), ())
+    a, b = _numbers(toxic), _numbers(ordinary)
+    model = Model(train_ordinary(ordinary), train_toxic(toxic, _telling(a, b)), (), (), ())
     # the texts that trained a dictionary would flatter it: each part is measured with one of the other parts
     rows, y = [], []
     for part in range(PARTS):
-        others = ([t for i, t in enumerate(texts) if i % PARTS != part] for texts in (toxic, ordinary))
-        own = Model(model.ordinary, train_toxic(*others), (), (), ())
+        others, own_words, other_words = ([t for i, t in enumerate(every) if i % PARTS != part] for every in (toxic, a, b))
+        own = Model(model.ordinary, train_toxic(others, _telling(own_words, other_words)), (), (), ())
         for label, texts in ((1, toxic[part::PARTS]), (0, ordinary[part::PARTS])):
             rows += [features(own, t) for t in texts]
             y += [label] * len(texts)
