@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docfacts.llm import jaccard, packing, quality_classifier, suffix_dedup, toxicity
 from docfacts.llm.common import fresh, table, written
-from docfacts.llm.queries import WORD_TOKENIZER
+from docfacts.llm.queries import word_file
 
 TOXIC = 0.5
 
@@ -45,7 +45,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece: its document, place and sequence."""
-    out = packing.pack_documents(docs, WORD_TOKENIZER)
+    out = packing.pack_documents(docs, word_file())
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

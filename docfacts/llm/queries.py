@@ -2,39 +2,50 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm import bpe, jaccard, licenses, media, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
-from docfacts.llm.common import shared_dir, table
-from docfacts.llm.token_counts import Rollup, deletes, inserts, revisions, word_count
+from docfacts.llm import bpe, jaccard, licenses, media, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from docfacts.llm.common import shared_dir, table, written
+from docfacts.llm.token_counts import Rollup, deletes, inserts, revisions
 
-#: Where the vocabulary files are; another folder can be named in DOCFACTS_TOKENIZERS.
-TOKENIZERS = os.environ.get("DOCFACTS_TOKENIZERS") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
-BYTE_RANKS = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
-WORD_TOKENIZER = os.path.join(TOKENIZERS, "word_bpe_49k.json")
 
 
-def pattern() -> str:
-    import public_tokenizers
+def vocabulary(name: str) -> str:
+    """The place of a vocabulary file; another folder can be named in DOCFACTS_TOKENIZERS."""
+    folder = os.environ.get("DOCFACTS_TOKENIZERS")
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
+
+
+def byte_ranks() -> str:
+    return vocabulary("byte_bpe_50k.tiktoken")
+
+
+def word_file() -> str:
+    return vocabulary("word_bpe_49k.json")
 
+
+def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without the bytes covered by 50-byte strings that also start in a document of smaller id: counts and the digest of what is left. Null texts are empty; see suffix_dedup.remove_repeats."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_RANKS, pattern())
+    """Byte-level ids of each whole text and their decoding, as counts and digests. Null texts are empty; one row per row; see bpe.encode_documents."""
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), byte_ranks(), pattern())
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for each text, learned from labelled rows that are not held out. Null texts are scored as empty ones, null ids are not held out; see toxicity."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
@@ -42,47 +53,55 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of each text and the verdict of rules that vote or abstain. Null texts have no words and fail; see quality_rules.judge."""
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior quality of each document. `documents` has no address: source stands for the host, language for the path; see quality_classifier.judge."""
     out = quality_classifier.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "source", "lang", "p_doc", "site_rate", "quality", "kept")
 
 
 def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as a stored 8-bit payload, read back from deduplicated chunks. Null texts are 64 bytes 0; see media.store_and_read."""
     return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents, two of them committed twice: words of each
-    text; a second tokenizer version; repeats of a text taken out again; and words of
-    texts with more than one line counted anew, with the line ends."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.xxhash64("text").alias("h"), F.md5("text").alias("d"), word_count(F.col("text")).alias("words"), F.ceil(F.length("text") / 4).cast("long").alias("quarters"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("ends"))
-    first = docs.groupBy("h", "d").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and d is not null")
-    repeats = docs.join(first, ["h", "d"]).where("doc_id > first")
-    kept = docs.join(first, ["h", "d"], "left").where("first is null or doc_id <= first")
+    """Totals of documents and tokens by source, language and tokenizer after four batches, two of them committed twice:
+    all documents under the byte-level and under the word tokenizer; repeats of a text
+    taken out of both; and the byte counts of the kept texts of several lines revised by
+    a token for each line end. Null texts count as documents without tokens that repeat
+    nothing; null sources and languages are groups; an empty table gives no rows."""
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), byte_ranks(), pattern(), word_file())
+    texts = written(token_counts.by_text(written(counted, "counted")), "texts")
+    byte, word = "byte_bpe_50k", "word_bpe_49k"
     rollup = Rollup(spark, f"{shared_dir(spark).rstrip('/')}/docfacts/rollup-{uuid.uuid4().hex}")
-    rollup.commit(1, inserts(docs, "words-1", "words"))
-    rollup.commit(2, inserts(docs, "quarters-1", "quarters"))
-    for batch in (2, 3):
-        rollup.commit(batch, *([inserts(docs, "quarters-1", "quarters")] if batch == 2 else [deletes(repeats, "words-1", "words"), deletes(repeats, "quarters-1", "quarters")]))
+    rollup.commit(1, inserts(texts, byte, "byte_tokens", "n"))
+    for _ in range(2):
+        rollup.commit(2, inserts(texts, word, "word_tokens", "n"))
+    again = texts.where("repeats > 0")
+    rollup.commit(3, deletes(again, byte, "byte_tokens", "repeats"), deletes(again, word, "word_tokens", "repeats"))
     for _ in range(2):
-        rollup.commit(4, revisions(kept.where("ends > 0"), "words-1", "words", F.col("words") + F.col("ends")))
+        rollup.commit(4, revisions(texts.where("n > repeats and line_ends > 0"), byte, "byte_tokens", F.col("byte_tokens") + F.col("line_ends"), F.col("n") - F.col("repeats")))
     return rollup.totals()
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    """Each piece of each document and its place in a sequence. Null texts are the end id alone; see packing.pack."""
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), word_file())
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the base phrases and all license labels of each text. Null texts have none; see licenses.scan."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shingle count and component of each document. Texts without words are alone; see jaccard.near_duplicates."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -90,16 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_media_chunks, op7_token_rollup, op8_best_fit_packing, op9_license_scan, op10_jaccard_join)
 }
 
-_OP7 = """
-with d as (select doc_id, source, lang, text, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as words,
-  cast(ceil(length(text) / 4) as bigint) as quarters, length(text) - length(replace(text, chr(10), '')) as ends,
-  min(doc_id) over (partition by text) as first from documents),
-k as (select * from d where text is null or doc_id = first)
-select source, lang, 'words-1' as tokenizer, count(*) as n_docs, cast(sum(words + coalesce(ends, 0)) as bigint) as n_tokens from k group by source, lang
-union all
-select source, lang, 'quarters-1', count(*), cast(sum(coalesce(quarters, 0)) as bigint) from k group by source, lang
-"""
-
 _OP1 = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 p as (select doc_id, h, unnest(range(1, length(h) - 98, 2)) as i from d where length(h) >= 100),
@@ -129,4 +138,4 @@ select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce((selec
 from w left join n using (doc_id)
 """
 
-SQL: dict[str, str] = {"op10_jaccard_join": _OP10, "op1_suffix_dedup": _OP1, "op7_token_rollup": _OP7}
+SQL: dict[str, str] = {"op10_jaccard_join": _OP10, "op1_suffix_dedup": _OP1}

@@ -11,9 +11,10 @@ import pytest
 
 import corpus_pipeline
 from docfacts.llm import packing, quality_classifier, suffix_dedup, toxicity
-from docfacts.llm.queries import WORD_TOKENIZER
+from docfacts.llm.queries import word_file
 from tests.llm.test_small import plain_components
 
+WORD_TOKENIZER = word_file()
 SF = "/root/testdata/sf0.001"
 
 

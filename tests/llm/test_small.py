@@ -11,8 +11,10 @@ import numpy as np
 import pytest
 
 from docfacts.llm import bpe, graph, jaccard, licenses, media, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
-from docfacts.llm.queries import BYTE_RANKS, WORD_TOKENIZER, pattern
-from docfacts.llm.token_counts import Rollup, deletes, inserts, revisions
+from docfacts.llm.queries import byte_ranks, pattern, word_file
+from docfacts.llm.token_counts import Rollup, by_text, count_tokens, deletes, inserts, revisions
+
+BYTE_RANKS, WORD_TOKENIZER = byte_ranks(), word_file()
 
 PASSAGE = "a passage of more than fifty bytes that several of the documents of this test have in common, word for word"
 TEXTS = [None, "", " ", "one two", "one two", PASSAGE, "x " + PASSAGE, PASSAGE + " y", PASSAGE, "ab" * 60, "ab" * 45, "é" * 70 + "日本" * 20, "wörd " * 400, "Line\nLine\n\nline LINE", "\x1c\x85 odd  spaces", "long " + " ".join(f"w{i}" for i in range(3000)), "ΑΣ Σ İ ſ don't WE'LL 12,5.", "the cc by cc by and GNU General Public License, version 3. All rights reserved"]
@@ -273,9 +275,51 @@ def test_token_rollup(spark, docs, tmp_path):
     r.commit(3, inserts(d.where("source = 's1'"), "v1", d["n"]))
     after = {x[:3]: x[3:] for x in map(tuple, r.totals().collect())}
     assert {x[:3]: x[3] for x in before} == {k: v[0] for k, v in after.items()}
+    with pytest.raises(ValueError):
+        r.commit(3, inserts(d, "v1", "n"))
+    assert r.commit(3, inserts(d.where("source = 's1'"), "v1", d["n"])) is False and r.batches() == [1, 2, 3]
     assert {tuple(x) for x in r.compact(2, str(tmp_path / "c")).totals().collect()} == {tuple(x) for x in r.totals().collect()}
 
 
+def test_rollup_commit_fails_halfway(spark, tmp_path, monkeypatch):
+    """A commit that ends before its rename leaves nothing that is read, and can be repeated; an empty rollup has no rows."""
+    d = spark.createDataFrame([("a", "en", 3), (None, None, 4)], "source string, lang string, n long")
+    r = Rollup(spark, str(tmp_path / "r"))
+    assert r.totals().count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(Rollup, "_files", lambda self: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            r.commit(1, inserts(d, "v1", "n"))
+    assert r.batches() == [] and r.totals().count() == 0
+    assert r.commit(1, inserts(d, "v1", "n")) and {tuple(x) for x in r.totals().collect()} == {("a", "en", "v1", 1, 3), (None, None, "v1", 1, 4)}
+    assert r.commit(2, inserts(d.where("false"), "v1", "n")) and r.totals().count() == 2
+
+
+def test_token_rollup_query(spark, docs, empty, tmp_path, monkeypatch):
+    """The whole of op7 against counts done one by one: nulls, repeats across sources, null ids, clashing names."""
+    from tokenizers import Tokenizer
+
+    from docfacts.llm import queries
+
+    enc, tok = bpe.encoding(BYTE_RANKS, pattern()), Tokenizer.from_file(WORD_TOKENIZER)
+    want: dict[tuple, list] = collections.defaultdict(lambda: [0, 0])
+    rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["source"] is not None, r["source"] or ""))
+    seen = set()
+    for r in rows:
+        if r["text"] is not None and r["text"] in seen:
+            continue
+        seen.add(r["text"])
+        t = r["text"] or ""
+        for name, n in (("byte_bpe_50k", len(enc.encode_ordinary(t)) + t.count("\n")), ("word_bpe_49k", len(tok.encode(t, add_special_tokens=False).ids))):
+            v = want[r["source"], r["lang"], name]
+            v[0], v[1] = v[0] + 1, v[1] + n
+    monkeypatch.setattr(queries, "table", lambda *_: docs.withColumnsRenamed({"score": "n", "n_chars": "digest"}))
+    got = {tuple(r)[:3]: list(tuple(r)[3:]) for r in queries.op7_token_rollup(spark, "").collect()}
+    assert got == want
+    monkeypatch.setattr(queries, "table", lambda *_: empty)
+    assert queries.op7_token_rollup(spark, "").count() == 0
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
