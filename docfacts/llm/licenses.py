@@ -7,126 +7,21 @@ equal intervals the rule that comes first stands."""
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docfacts.llm.license_rules import SIGNATURES
+
 #: Fixed values of the contract: phrases whose places are always counted, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Licences: label, keyword, and how running text names them ("a|b": either, "x?": may be left out).
-NAMES = (
-    ("apache-1.0", "apache", "apache software? license version? 1 0"),
-    ("apache-1.1", "apache", "apache software? license version? 1 1"),
-    ("apache-2.0", "apache", "apache software? license version? 2 0?"),
-    ("apache", "apache", "apache software? license"),
-    ("mit", "mit", "mit license?"),
-    ("mit", "expat", "expat license?"),
-    ("mit-0", "mit", "mit no attribution license?"),
-    ("isc", "isc", "isc license?"),
-    ("bsd-2-clause", "bsd", "2|two clause bsd license?"),
-    ("bsd-3-clause", "bsd", "3|three clause bsd license?"),
-    ("bsd-4-clause", "bsd", "4|four clause bsd license?"),
-    ("bsd-2-clause", "bsd", "simplified bsd license?"),
-    ("bsd-3-clause", "bsd", "new|modified|revised bsd license?"),
-    ("bsd", "bsd", "bsd license?"),
-    ("gpl-1.0", "general public", "gnu? general public license version|v? 1|v1 0?"),
-    ("gpl-2.0", "general public", "gnu? general public license version|v? 2|v2 0?"),
-    ("gpl-3.0", "general public", "gnu? general public license version|v? 3|v3 0?"),
-    ("gpl", "general public", "gnu? general public license"),
-    ("gpl-2.0", "gpl", "gnu? gpl version|v? 2|v2 0?"),
-    ("gpl-3.0", "gpl", "gnu? gpl version|v? 3|v3 0?"),
-    ("lgpl-2.1", "lesser general", "gnu? lesser general public license version|v? 2|v2 1"),
-    ("lgpl-3.0", "lesser general", "gnu? lesser general public license version|v? 3|v3 0?"),
-    ("lgpl", "lesser general", "gnu? lesser general public license"),
-    ("lgpl-2.0", "library general", "gnu? library general public license version|v? 2|v2 0?"),
-    ("agpl-3.0", "affero", "gnu? affero general public license version|v? 3|v3 0?"),
-    ("agpl", "affero", "gnu? affero general public license"),
-    ("mpl-1.0", "mozilla", "mozilla public license version? 1 0"),
-    ("mpl-1.1", "mozilla", "mozilla public license version? 1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public license version? 2 0?"),
-    ("mpl", "mozilla", "mozilla public license"),
-    ("epl-1.0", "eclipse", "eclipse public license version|v? 1|v1 0?"),
-    ("epl-2.0", "eclipse", "eclipse public license version|v? 2|v2 0?"),
-    ("eupl-1.2", "european union", "european union public licence|license v|version? 1 2"),
-    ("cddl-1.0", "distribution license", "common development and distribution license version? 1 0"),
-    ("artistic-2.0", "artistic", "artistic license version? 2 0?"),
-    ("bsl-1.0", "boost", "boost software license version? 1 0"),
-    ("zlib", "zlib", "zlib license?"),
-    ("unlicense", "unlicense", "the? unlicense"),
-    ("wtfpl", "public license", "do what the fuck you want to public license"),
-    ("odbl-1.0", "open database", "open database license version? 1 0"),
-    ("ofl-1.1", "open font", "sil? open font license version? 1 1"),
-    ("cc0-1.0", "cc0", "cc0 1 0 universal?"),
-    ("cc-by-4.0", "cc by", "cc by 4 0"),
-    ("cc-by-3.0", "cc by", "cc by 3 0"),
-    ("cc-by-sa-4.0", "cc by", "cc by sa 4 0"),
-    ("cc-by-sa-3.0", "cc by", "cc by sa 3 0"),
-    ("cc-by-nc-4.0", "cc by", "cc by nc 4 0"),
-    ("cc-by-nc-3.0", "cc by", "cc by nc 3 0"),
-    ("cc-by-nd-4.0", "cc by", "cc by nd 4 0"),
-    ("cc-by-nc-sa-4.0", "cc by", "cc by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "cc by", "cc by nc nd 4 0"),
-    ("cc-by-4.0", "creative commons", "creative commons attribution 4 0 international? license?"),
-    ("cc-by-sa-4.0", "creative commons", "creative commons attribution share|sharealike alike? 4 0 international? license?"),
-    ("cc-by-nc-4.0", "creative commons", "creative commons attribution noncommercial|non commercial? 4 0 international? license?"),
-    ("cc", "creative commons", "creative commons license?"),
-)
-#: Ways to grant a licence ("{}" stands for its name), surest first, with the confidence of each.
-GRANTS = (
-    ("spdx license identifier {}", 1.0),
-    ("licensed under the? terms? of? the? {}", 0.98),
-    ("released under the? terms? of? the? {}", 0.98),
-    ("distributed under the? terms? of? the? {}", 0.97),
-    ("available under the? terms? of? the? {}", 0.95),
-    ("subject to the? terms? of? the? {}", 0.9),
-    ("under the terms of the? {}", 0.9),
-    ("{}", 0.6),
-)
-#: Rules that name no licence: label, keyword, words, confidence.
-NOTICES = (
-    ("reserved", "rights reserved", "all rights reserved", 0.9),
-    ("reserved", "rights reserved", "some rights reserved", 0.8),
-    ("copyright", "copyright", "copyright c? 19\\d\\d|20\\d\\d", 0.8),
-    ("public-domain", "public domain", "released|dedicated|placed to|into|in the public domain", 0.95),
-    ("public-domain", "public domain", "in the public domain", 0.8),
-    ("proprietary", "proprietary", "proprietary and confidential", 0.9),
-    ("proprietary", "redistribution", "redistribution is? prohibited|forbidden", 0.9),
-)
-
-_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
-_ISC = "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted"
-_FSF = "as published by the free software foundation either version"
-#: Words of the licence texts and notices themselves, which need not name the licence: label, keyword, words, confidence.
-SIGNATURES = (
-    ("mit-0", "hereby granted", _MIT + " the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided", 0.95),
-    ("mit", "hereby granted", _MIT, 0.9),
-    ("mit", "substantial portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.9),
-    ("0bsd", "hereby granted", _ISC + " the software is provided", 0.95),
-    ("isc", "hereby granted", _ISC + " provided that the above copyright notice", 0.95),
-    ("bsl-1.0", "hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 0.95),
-    ("ofl-1.1", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of the font software", 0.95),
-    ("bsd", "source and binary", "redistribution and use in source and binary forms with or without modification are permitted", 0.9),
-    ("bsd-3-clause", "endorse or promote", "contributors may be used to endorse or promote products derived from this software", 0.9),
-    ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledgement|acknowledgment", 0.95),
-    ("apache-2.0", "in compliance with", "you may not use this file except in compliance with the license", 0.8),
-    ("apache-2.0", "royalty free irrevocable", "perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce", 0.9),
-    ("gpl-2.0", "software foundation", "gnu general public license " + _FSF + " 2 of the license", 0.95),
-    ("gpl-3.0", "software foundation", "gnu general public license " + _FSF + " 3 of the license", 0.95),
-    ("lgpl-2.1", "software foundation", "gnu lesser general public license " + _FSF + " 2 1 of the license", 0.95),
-    ("lgpl-3.0", "software foundation", "gnu lesser general public license " + _FSF + " 3 of the license", 0.95),
-    ("agpl-3.0", "software foundation", "gnu affero general public license " + _FSF + " 3 of the license", 0.95),
-    ("mpl-2.0", "source code form", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.95),
-    ("zlib", "held liable", "in no event will the authors be held liable for any damages arising from the use of this software", 0.9),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 0.95),
-)
-
+#: Intervals that one fold of the suppression takes.
+BLOCK = 64
+_BEGIN, _END = "\x01", "\x02"
 _GAP = r"[\x00-/:-`{-\x7F]+"
-#: A bare name that is also an everyday word or abbreviation counts only in a grant.
-_NEEDS_GRANT = {"mit license?", "expat license?", "isc license?", "zlib license?", "the? unlicense"}
-
-
 def _pattern(words: str) -> str:
     """The regular expression of words that each stand between two spaces."""
     out = ""
@@ -137,18 +32,15 @@ def _pattern(words: str) -> str:
     return out
 
 
+@functools.lru_cache(maxsize=1)
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(rank, label, keyword, pattern, confidence): every way to grant every licence, surest first; then words of the texts, and notices."""
+    """(rank, label, keyword, pattern, confidence) of every signature, in order of priority."""
     out = []
-    for grant, sure in GRANTS:
-        for label, keyword, name in NAMES:
-            if grant == "{}" and name in _NEEDS_GRANT:
-                name = name.rstrip("?")
-                if name == "the? unlicense":
-                    continue
-            out.append((label, keyword, _pattern(grant.format(name)), sure))
-    out += [(label, keyword, _pattern(words), sure) for label, keyword, words, sure in SIGNATURES + NOTICES]
-    return [(i, *x) for i, x in enumerate(out)]
+    for rank, line in enumerate(SIGNATURES.strip().split("\n")):
+        label, sure, words = line.split(" ", 2)
+        keyword = re.search(r"\[(.*)\]", words)[1]
+        out.append((rank, label, keyword, _pattern(words.replace("[", "").replace("]", "")), float(sure)))
+    return out
 
 
 def gate() -> str:
@@ -167,17 +59,31 @@ def _spaces(c: Column) -> Column:
 
 
 def _intervals(spaced: Column, pattern: Column) -> Column:
-    """Start and end (excluded) word of each match, from the words before and in the matches."""
-    found, around = F.regexp_extract_all(spaced, pattern, F.lit(0)), F.split(spaced, pattern, -1)
-    long0 = F.lit(0).cast("long")
-    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    each = F.aggregate(
-        F.arrays_zip(F.transform(found, lambda m: _spaces(m)).alias("m"), F.transform(F.slice(around, F.lit(1), F.size(found)), lambda g: _spaces(g)).alias("g")),
-        F.struct(none.alias("out"), long0.alias("at")),
-        lambda acc, x: F.struct(F.array_append(acc["out"], F.struct(((acc["at"] + x["g"]) / 2).cast("long").alias("s"), ((acc["at"] + x["g"] + x["m"]) / 2).cast("long").alias("e"))).alias("out"), (acc["at"] + x["g"] + x["m"]).alias("at")),
-        lambda acc: acc["out"],
+    """Start and end (excluded) word of each match, in steps as many as there are words.
+
+    A mark goes before and after each match; of the words and marks in order, the k-th
+    match has 2 k marks before its first and one more before its last."""
+    marked = F.split(F.regexp_replace(spaced, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(f" {_BEGIN} $1 {_END} ")), " +")
+    # the empty string before the first space counts as a word
+    place = lambda mark: F.filter(F.transform(marked, lambda w, i: F.when(w == mark, i - 1)), lambda i: i.isNotNull())
+    each = F.transform(F.arrays_zip(place(_BEGIN).alias("b"), place(_END).alias("e")), lambda x, k: F.struct((x["b"] - 2 * k).cast("long").alias("s"), (x["e"] - 2 * k - 1).cast("long").alias("e")))
+    return F.when(F.rlike(spaced, pattern), each).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
+
+
+def _uncontained(ordered: Column, kind: str) -> Column:
+    """Of intervals by start, the longest first, those that reach beyond all before them; block by block, as appending copies what there is."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / BLOCK).cast("int")), lambda b: F.slice(ordered, b * BLOCK + 1, F.lit(BLOCK)))
+    reach = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda x: -x["back"])))
+    kept = F.transform(
+        F.arrays_zip(blocks.alias("b"), F.transform(blocks, lambda _, i: F.coalesce(F.array_max(F.slice(reach, F.lit(1), i)), F.lit(-1).cast("long"))).alias("r")),
+        lambda x: F.aggregate(
+            x["b"],
+            F.struct(F.array().cast(kind).alias("out"), x["r"].alias("reach")),
+            lambda acc, y: F.when(-y["back"] > acc["reach"], F.struct(F.array_append(acc["out"], F.struct(y["s"].alias("s"), (-y["back"]).alias("e"), y["rank"].alias("rank"), y["label"].alias("label"), y["sure"].alias("sure"))).alias("out"), (-y["back"]).alias("reach"))).otherwise(acc),
+            lambda acc: acc["out"],
+        ),
     )
-    return F.when(F.size(found) > 0, each).otherwise(none)
+    return F.flatten(kept)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,12 +101,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base = [(label, F.when(F.col("gated") & F.contains(F.col("w"), F.lit(p)), F.transform(_intervals(F.col("t"), F.lit(_pattern(p))), lambda x: x["s"])).otherwise(F.array().cast("array<bigint>"))) for p, label in BASE]
     w = w.select("id", "n_words", F.when(F.col("gated"), found).otherwise(empty).cast(kind).alias("found"), *(c.alias(f"b{i}") for i, (_, c) in enumerate(base)))
     ordered = F.array_sort(F.transform("found", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("back"), x["rank"].alias("rank"), x["label"].alias("label"), x["sure"].alias("sure"))))
-    kept = F.aggregate(
-        ordered,
-        F.struct(empty.alias("out"), F.lit(-1).cast("long").alias("reach")),
-        lambda acc, x: F.when(-x["back"] > acc["reach"], F.struct(F.array_append(acc["out"], F.struct(x["s"].alias("s"), (-x["back"]).alias("e"), x["rank"].alias("rank"), x["label"].alias("label"), x["sure"].alias("sure"))).alias("out"), (-x["back"]).alias("reach"))).otherwise(acc),
-        lambda acc: acc["out"],
-    )
+    kept = _uncontained(ordered, kind)
     places = F.concat(*(F.col(f"b{i}") for i in range(len(BASE))))
     own = F.filter(F.array(*(F.when(F.size(f"b{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE))), lambda x: x.isNotNull())
     w = w.select("id", "n_words", F.when(F.size("found") > 0, kept).otherwise(empty).cast(kind).alias("detections"), places.alias("places"), own.alias("own"))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from docfacts.llm import bpe, graph, jaccard, licenses, media, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from docfacts.llm.license_rules import SIGNATURES
 from docfacts.llm.queries import byte_ranks, pattern, word_file
 from docfacts.llm.token_counts import Rollup, by_text, count_tokens, deletes, inserts, revisions
 
@@ -396,7 +397,7 @@ def test_licenses(docs, empty):
     assert "gpl-3.0" in x["labels"].split(",") and 0 <= x["score"] <= 1
     assert r[0]["n_words"] == 0 and r[0]["labels"] == "" and r[0]["first_word"] is None
     assert licenses.scan(empty).count() == 0
-    assert len(licenses.rules()) > 400
+    assert len(licenses.rules()) > 250 and all(k in re.sub(r"\\?", "", x) for (_, _, k, _, _), x in zip(licenses.rules(), SIGNATURES.strip().replace("[", "").replace("]", "").split("\n")))
 
 
 @pytest.mark.parametrize(
@@ -426,6 +427,36 @@ def test_license_texts(spark):
     assert {r["doc_id"]: r["labels"] for r in got} == {i: x for i, (_, x) in enumerate(want)}
 
 
+def plain_scan(text):
+    """Every rule by `re` over the words, in order; then containment, one interval against all others."""
+    words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    spaced, found = "".join(f" {w} " for w in words), []
+    for rank, label, _, pattern, sure in licenses.rules():
+        for m in re.finditer(pattern, spaced):
+            found.append((spaced[: m.start()].count(" ") // 2, spaced[: m.end()].count(" ") // 2, rank, label, sure))
+    kept = [x for x in found if not any((y[0] <= x[0] and x[1] <= y[1] and (y[0], y[1]) != (x[0], x[1])) or (y[0], y[1]) == (x[0], x[1]) and y[2] < x[2] for y in found)]
+    base = [(i, label) for phrase, label in licenses.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    labels = ",".join(sorted({x[3] for x in kept} | {x for _, x in base}))
+    places = [i for i, _ in base]
+    return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in base})), labels, max([x[4] for x in kept], default=0.5 if base else 0.0)
+
+
+def test_license_scan_is_plain(spark):
+    """Every column against all rules one by one: ties, overlaps of different labels, repeats, odd spaces, very long texts."""
+    rng = np.random.default_rng(9)
+    lines = [re.sub(r"\|\S+|[\[\]?]", "", x.split(" ", 2)[2]).replace("19\\d\\d", "1999") for x in SIGNATURES.strip().split("\n")]
+    texts = [*lines, "", "The MIT License (MIT)\n\nCopyright (c) 2020 x, all rights reserved", "cc by cc by-sa 4.0 CC-BY", "É all RIGHTS reserved\u00a0x", "mit mit license mit license"]
+    texts += [" ".join(str(rng.choice(lines)) + rng.choice([" ", " x ", ". ", " license "]) for _ in range(12)) for _ in range(40)]
+    texts.append(" word" * 60000 + " all rights reserved." + " cc by," * 3000 + " released under the MIT license " * 2000)
+    got = {r["i"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "i long, body string"), "i", "body").collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        have = (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"])
+        if i < len(texts) - 1:
+            assert have == plain_scan(t), t
+    assert have[:4] == (60000 + 3 + 6000 + 10000, 3001, 60000, 60003 + 2 * 2999) and have[4:6] == ("cc-by,reserved", "cc-by,mit,reserved")
+
+
 def plain_components(rows):
     sets = []
     for _, t in rows:
