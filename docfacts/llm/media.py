@@ -8,15 +8,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import pickle
 import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.llm.common import slices
@@ -109,65 +107,147 @@ def codec(dictionary: bytes):
 
 
 RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
+#: An ordered chunk list: a row's place in its block, its id, the text's bytes, the digest of its media, and its chunks' digests one after another.
+LIST = "struct<row:int,id:{kind},n_bytes:bigint,sha256:binary,names:binary>"
+DIGEST_BYTES = 20
 
 
-def chunk_rows(docs: DataFrame, dictionary: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (digest, block, data): each chunk once for each block of documents it is in, and a row for each block's ordered chunk lists."""
+def _digests(text: bytes) -> tuple[bytes, list[bytes], list[bytes]]:
+    """The media of a text, its chunks and their digests."""
+    media = wav(payload(text))
+    cut = chunks(media)
+    return media, cut, [hashlib.sha256(c).digest()[:DIGEST_BYTES] for c in cut]
+
+
+def list_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (block, digest): which chunks a block of documents has, each once; and rows
+    (block, digest, list): each document's ordered chunk list, with a key of its own in
+    place of a digest (shorter than one, so equal to none)."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(it):
-        pack = codec(dictionary)[0]
         task, n = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
         for batch, texts in slices(it, "text", BLOCK_BYTES):
             block, n = (task << 24) + n, n + 1
+            own: dict[bytes, None] = {}
+            names, sums = [], []
+            for text in texts:
+                media, _, digests = _digests(text)
+                sums.append(hashlib.sha256(media).digest())
+                names.append(b"".join(digests))
+                own.update(dict.fromkeys(digests))
+            m, k = len(own), len(texts)
+            keys = [*own, *(struct.pack("<qi", block, i) for i in range(k))]
+            lists = pa.StructArray.from_arrays([pa.array(range(k), pa.int32()), batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums, pa.binary()), pa.array(names, pa.binary())], names=["row", "id", "n_bytes", "sha256", "names"])
+            yield pa.RecordBatch.from_arrays([pa.array([block] * (m + k), pa.int64()), pa.array(keys, pa.binary()), pa.concat_arrays([pa.nulls(m, lists.type), lists])], names=["block", "digest", "list"])
+
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, "block long, digest binary, list " + LIST.format(kind=kind))
+
+
+def chunk_rows(docs: DataFrame, dictionary: bytes, text_col: str = "text") -> DataFrame:
+    """(digest, data): each chunk once, compressed; equal ones are combined within a block, on the map side, and then by digest."""
+
+    def run(it):
+        pack = codec(dictionary)[0]
+        for _, texts in slices(it, "text", BLOCK_BYTES):
             own: dict[bytes, bytes] = {}
-            lists = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts):
-                media = wav(payload(text))
-                names = []
-                for c in chunks(media):
-                    digest = hashlib.sha256(c).digest()[:20]
-                    names.append(digest)
+            for text in texts:
+                for c, digest in zip(*_digests(text)[1:]):
                     if digest not in own:
                         own[digest] = pack.compress(c)
-                lists.append((doc, len(text), hashlib.sha256(media).digest(), b"".join(names)))
-            keys = [*own, b"list" + struct.pack("<q", block)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([block] * len(keys), pa.int64()), pa.array([*own.values(), pickle.dumps(lists)], pa.binary())], names=["digest", "block", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([*own], pa.binary()), pa.array([*own.values()], pa.binary())], names=["digest", "data"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, "digest binary, block long, data binary")
+    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
 
 
-def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes | None = None, keep_media: bool = False) -> DataFrame:
-    """Store each text as media in shared chunks, read it back, verify it and describe it.
+def deliver(lists: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows of list_rows, with the data of the chunks they name, joined by digest.
 
-    A null or empty text is 64 bytes 0. Repeated rows are stored once and described
-    each; null ids stay; an empty table gives an empty one. A file whose digest
-    differs from the one that was stored ends the job. A chunk costs one row for each
-    block of documents that has it, however many documents share it."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    dictionary = train_dictionary(docs, text_col) if dictionary is None else dictionary
-    stored = chunk_rows(docs, dictionary, id_col, text_col).groupBy("digest").agg(F.first("data").alias("data"), F.collect_set("block").alias("blocks"))
-    wanted = stored.select("digest", "data", F.explode("blocks").alias("block"))
+    A chunk that all blocks share is a row for each block: no row holds a list of blocks."""
+    return lists.join(stored, "digest", "left").select("block", "digest", "data", "list")
+
+
+def read(delivered: DataFrame, dictionary: bytes, id_col: str = "doc_id", keep_media: bool = False) -> DataFrame:
+    """Put the media of each block's lists together, verify them and describe them."""
+    kind = delivered.schema["list"].dataType["id"].dataType.simpleString()
 
-    def read(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(table: pa.Table) -> pa.Table:
         unpack = codec(dictionary)[1]
-        have = dict(zip(pdf["digest"].map(bytes), pdf["data"]))
-        rows = []
+        stored = dict(zip(table.column("digest").to_pylist(), table.column("data").to_pylist()))
+        lists = table.column("list").combine_chunks()
+        lists = lists.filter(lists.is_valid())
+        ids, sizes, sums, names = (lists.field(c) for c in ("id", "n_bytes", "sha256", "names"))
         open_chunks: dict[bytes, bytes] = {}
-        for key in [k for k in have if k[:4] == b"list" and len(k) == 12]:
-            for doc, n, digest, names in pickle.loads(bytes(have[key])):
-                parts = []
-                for i in range(0, len(names), 20):
-                    name = names[i : i + 20]
-                    if name not in open_chunks:
-                        open_chunks[name] = unpack.decompress(bytes(have[name]), max_output_size=MAX_CHUNK)
-                    parts.append(open_chunks[name])
-                media = b"".join(parts)
-                if hashlib.sha256(media).digest() != digest:
-                    raise ValueError(f"media of {doc} isn't what was stored")
-                data = samples(media)
-                rows.append((doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), digest.hex(), feature(data), len(parts)) + ((media,) if keep_media else ()))
-        out = pd.DataFrame(rows, columns=["id", *(c.split()[0] for c in RESULT.split(", "))] + ["media"] * keep_media)
-        return out.astype({"id": "Int64"}) if kind in ("bigint", "int") else out
-
-    out = wanted.groupBy("block").applyInPandas(read, f"id {kind}, {RESULT}" + ", media binary" * keep_media)
+        out: list[tuple] = []
+        for doc, n, digest, every in zip(ids.to_pylist(), sizes.to_pylist(), sums.to_pylist(), names.to_pylist()):
+            parts = []
+            for i in range(0, len(every), DIGEST_BYTES):
+                name = every[i : i + DIGEST_BYTES]
+                if name not in open_chunks:
+                    if stored.get(name) is None:
+                        raise ValueError(f"a chunk of the media of {doc} is missing")
+                    open_chunks[name] = unpack.decompress(stored[name], max_output_size=MAX_CHUNK)
+                parts.append(open_chunks[name])
+            media = b"".join(parts)
+            if hashlib.sha256(media).digest() != digest:
+                raise ValueError(f"media of {doc} isn't what was stored")
+            data = samples(media)
+            out.append((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), digest.hex(), feature(data), len(parts), media if keep_media else None))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * keep_media
+        cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
+        return pa.table([ids, *cols], names=["id", *(c.split()[0] for c in RESULT.split(", "))] + ["media"] * keep_media)
+
+    out = delivered.groupBy("block").applyInArrow(one, f"id {kind}, {RESULT}" + ", media binary" * keep_media)
     return out.withColumnRenamed("id", id_col)
+
+
+class Store:
+    """A chunk table (digest, data) and a list table (block, list), as Parquet in a shared folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def add(self, docs: DataFrame, dictionary: bytes, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Write the chunks of docs that the table doesn't have yet, then their lists; a list is never there without its chunks."""
+        new = chunk_rows(docs, dictionary, text_col)
+        if self._has("chunks"):
+            new = new.join(self.chunks().select("digest"), "digest", "left_anti")
+        new.write.mode("append").parquet(f"{self.path}/chunks")
+        offset = (self.lists().agg(F.max("block")).first()[0] or 0) + 1 if self._has("lists") else 0
+        lists = list_rows(docs, id_col, text_col).where("list is not null")
+        lists.select((F.col("block") + F.lit(offset)).alias("block"), "list").write.mode("append").parquet(f"{self.path}/lists")
+
+    def _has(self, name: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+    def chunks(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/chunks")
+
+    def lists(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/lists")
+
+    def positions(self) -> DataFrame:
+        """(block, row, id, position, digest): the lists, a row for each chunk of a document."""
+        place = F.posexplode(F.transform(F.sequence(F.lit(0), (F.octet_length("list.names") / DIGEST_BYTES).cast("int") - 1), lambda i: F.substring(F.col("list.names"), i * DIGEST_BYTES + 1, F.lit(DIGEST_BYTES))))
+        return self.lists().select("block", "list.row", "list.id", place.alias("position", "digest"))
+
+    def read(self, dictionary: bytes, id_col: str = "doc_id", keep_media: bool = False) -> DataFrame:
+        """All stored media, read back, verified and described."""
+        lists = self.lists()
+        asked = self.positions().select("block", "digest").distinct().withColumn("list", F.lit(None).cast(lists.schema["list"].dataType))
+        rows = asked.unionByName(lists.select("block", F.encode(F.concat_ws(":", "block", "list.row"), "utf-8").alias("digest"), "list"))
+        return read(deliver(rows, self.chunks()), dictionary, id_col, keep_media)
+
+
+def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes | None = None, keep_media: bool = False) -> DataFrame:
+    """Cut each text's media into chunks, keep each chunk once, read all back, verify and describe it.
+
+    A null or empty text is 64 bytes 0. Repeated rows are kept once and described
+    each; null ids stay; an empty table gives an empty one; other columns aren't read. A
+    file whose digest differs from the one that was taken ends the job, and so does a
+    text of 4 GB or more (a WAV file's sizes have 32 bits). The chunks pass through
+    shuffles only; Store keeps them in tables."""
+    dictionary = train_dictionary(docs, text_col) if dictionary is None else dictionary
+    return read(deliver(list_rows(docs, id_col, text_col), chunk_rows(docs, dictionary, text_col)), dictionary, id_col, keep_media)

@@ -259,6 +259,27 @@ def test_media(docs, empty):
     assert media.store_and_read(empty).count() == 0
 
 
+def test_media_store(spark, docs, tmp_path):
+    """Tables of chunks and lists: chunks are there once, positions are in order, a second load adds only what is new, a missing chunk is noticed."""
+    store, dictionary = media.Store(spark, str(tmp_path / "m")), media.train_dictionary(docs)
+    store.add(docs, dictionary)
+    n = store.chunks().count()
+    assert store.chunks().select("digest").distinct().count() == n and dict(store.positions().dtypes)["position"] == "int"
+    plain = {r["doc_id"]: r for r in media.store_and_read(docs, dictionary=dictionary, keep_media=True).collect()}
+    got = store.read(dictionary, keep_media=True).collect()
+    assert len(got) == docs.count() and all(tuple(r) == tuple(plain[r["doc_id"]]) for r in got if r["doc_id"] != 3)
+    where = {}
+    for r in store.positions().orderBy("block", "row", "position").collect():
+        where.setdefault((r["block"], r["row"]), []).append(bytes(r["digest"]))
+    want = collections.Counter(tuple(hashlib.sha256(c).digest()[:20] for c in media.chunks(media.wav(media.payload(t.encode())))) for _, t in texts_of(docs))
+    assert collections.Counter(map(tuple, where.values())) == want
+    store.add(spark.createDataFrame([(90, TEXTS[5]), (91, "new " * 9)], "doc_id long, text string"), dictionary)
+    assert store.chunks().count() == n + 1 and store.read(dictionary).count() == docs.count() + 2
+    broken = media.deliver(media.list_rows(docs), media.chunk_rows(docs.limit(3), dictionary))
+    with pytest.raises(Exception, match="is missing"):
+        media.read(broken, dictionary).collect()
+
+
 def test_chunks_follow_content():
     data = np.random.default_rng(3).integers(0, 256, 200_000, dtype=np.uint8).tobytes()
     a, b = media.chunks(data), media.chunks(data[:1000] + b"inserted" + data[1000:])
