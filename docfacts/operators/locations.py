@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.functions.text import classify_place, plain_lower, spans
+from docfacts.functions.text import SPAN, classify_place, plain_lower, spans
 from docfacts.operators.places import Places, resolve_places
+from docfacts.sources.shared import written
 
 #: The headings of a location section, and what begins the next one.
 HEADING = r"(?Ui)(?:descripci[oó]n\s+y\s+localizaci[oó]n|localizaci[oó]n\s+y\s+descripci[oó]n|localizaci[oó]n|ubicaci[oó]n|emplazamiento)\s+del?\s+proyecto"
@@ -53,6 +54,10 @@ def merge_intervals(c: Column) -> Column:
 
 #: A stand-in for a trained recogniser: runs of capitalised words, which may be linked by Spanish particles.
 CAPITALISED = r"(?U)\b\p{Lu}[\p{L}'’-]+(?:\s+(?:(?:de|del|la|las|los|el|y)\s+)*\p{Lu}[\p{L}'’-]+)*"
+#: The same without `y`; a preposition that begins a sentence; and what makes a span other names, should the gazetteer not have it as it is.
+ONE_NAME = CAPITALISED.replace("|y)", ")")
+LEAD = r"(?U)^(?:Por|En|Con|Para|Según|Desde|Hasta|Sobre|Entre)\s+"
+JOINED = r"(?U)\sy\s|" + LEAD.removeprefix("(?U)")
 
 
 def capitalised_spans(chunks: DataFrame) -> DataFrame:
@@ -91,13 +96,32 @@ def admissible(norm: Column) -> Column:
     return (norm != "") & ~norm.rlike(r"(?U)^[\W\d]+$") & (F.length(norm) > 2) & ~norm.rlike(r"(?U)\d") & ~F.arrays_overlap(F.split(norm, r"(?U)\s+"), F.array(*map(F.lit, ADMIN)))
 
 
+def _names_in(text: Column) -> Column:
+    """The single names of a span."""
+    bare = lambda p: F.regexp_replace(p["text"], LEAD, "")
+    return F.transform(spans(text, ONE_NAME), lambda p: F.struct(bare(p).alias("text"), (p["end"] - F.length(bare(p))).alias("start"), p["end"].alias("end")))
+
+
 def location_mentions(docs: DataFrame, gaz: Places | None = None, recogniser=capitalised_spans, labels: tuple[str, ...] = ("LOC",), verified_only: bool = False, id_col: str = "_id") -> DataFrame:
-    """(id, key, name, type, verified, geonameid, province, region, match_type, confidence, text, start, end): recognised spans that pass the filters."""
+    """(id, key, name, type, verified, geonameid, province, region, match_type, confidence, text, start, end): recognised spans that pass the filters.
+
+    A span that `y` joins, or that a preposition begins, is one name if the gazetteer has
+    it, else the names around the `y` without the preposition."""
     found = recogniser(chunks_of(docs, id_col)).where(F.col("label").isin(*labels))
     m = found.select("id", F.trim("text").alias("text"), (F.col("base") + F.col("start")).cast("int").alias("start"), (F.col("base") + F.col("end")).cast("int").alias("end"))
-    m = m.withColumn("norm", plain_lower(F.col("text"))).where(admissible(F.col("norm")))
+    m = written(m.withColumn("parts", F.when(F.col("text").rlike(JOINED), _names_in(F.col("text"))).otherwise(F.array().cast(f"array<{SPAN}>"))), "recognised")
+    # each distinct string is judged and looked up once
+    names = m.select(F.explode(F.array_union(F.array("text"), F.transform("parts", lambda p: p["text"]))).alias("name")).distinct()
+    names = names.withColumn("norm", plain_lower(F.col("name"))).withColumn("ok", admissible(F.col("norm")))
     none = "struct<geonameid:string,canonical:string,type:string,fclass:string,fcode:string,province:string,region:string,match_type:string,score:double>"
-    m = resolve_places(m, "text", gaz) if gaz is not None else m.withColumn("hit", F.lit(None).cast(none))
+    known = resolve_places(names, "name", gaz) if gaz is not None else names.withColumn("hit", F.lit(None).cast(none))
+    known = written(known.select("name", "norm", "ok", F.when(F.col("ok"), F.col("hit")).alias("hit")), "names")
+    whole = m.join(known, m["text"] == known["name"]).drop("name")
+    apart = F.col("hit").isNull() & (F.size("parts") > 0)
+    pieces = whole.where(apart).select("id", "start", F.explode("parts").alias("p")).select("id", F.col("p.text").alias("text"), (F.col("start") + F.col("p.start")).alias("start"), (F.col("start") + F.col("p.end")).alias("end"))
+    pieces = pieces.join(known, F.col("text") == F.col("name")).drop("name")
+    columns = ["id", "text", "start", "end", "norm", "ok", "hit"]
+    m = whole.where(~apart).select(*columns).unionByName(pieces.select(*columns)).where("ok")
     if verified_only:
         m = m.where("hit is not null")
     return m.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docfacts.functions.text import contains_match, doc_of, exact_match, spans, tag_of, token_f1, trivial_answer
+from docfacts.functions.text import answer_tokens, doc_of, spans, tag_of, tokens_f1, trivial_answer
 
 MAX_TOKENS, OVERLAP, CONTEXT_CHARS, BEST, MAX_ANSWER = 384, 128, 16000, 20, 40
 ACCEPT_ALL = -1e9
@@ -194,8 +194,11 @@ def eval_rows(decoded: DataFrame) -> DataFrame:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """Each row's scores if it is answered; the comparison of strings is done once, not for each threshold."""
-    return rows.select("id", F.col("margin"), (F.coalesce("gold", F.lit("")) != "").alias("has"), (F.col("span") != "").alias("any"), exact_match(F.col("span"), F.col("gold")).alias("em"), token_f1(F.col("span"), F.col("gold")).alias("f1"), contains_match(F.col("span"), F.col("gold")).cast("double").alias("cm"))
+    """Each row's scores if it is answered; strings become tokens once, and are compared once, not for each threshold."""
+    t = rows.select("id", "margin", (F.coalesce("gold", F.lit("")) != "").alias("has"), (F.col("span") != "").alias("any"), answer_tokens("span").alias("p"), answer_tokens("gold").alias("g"))
+    t = t.select("id", "margin", "has", "any", "p", "g", F.array_join("p", " ").alias("ps"), F.array_join("g", " ").alias("gs"))
+    within = (F.col("ps") != "") & (F.col("gs") != "") & (F.contains("ps", F.col("gs")) | F.contains("gs", F.col("ps")))
+    return t.select("id", "margin", "has", "any", (F.col("ps") == F.col("gs")).cast("double").alias("em"), tokens_f1(F.col("p"), F.col("g")).alias("f1"), within.cast("double").alias("cm"))
 
 
 def _metrics(yes: Column) -> list[Column]:

@@ -29,10 +29,10 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; long texts that lie in fewer parts than there are cores are dealt out."""
+    """A table. In local mode `documents`, there a single small file, is dealt out to the threads; on a cluster its parts are read as they lie."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
+    sc = spark.sparkContext
+    return df.repartition(sc.defaultParallelism) if name == "documents" and sc.master.startswith("local[") else df
 
 
 # pieces of SQL
@@ -57,10 +57,9 @@ def quoted(s: str) -> str:
 
 
 def sql_taxon(c: str) -> str:
-    s = f"strip_accents({c})"
-    for _ in range(T.AUTHORSHIP_PASSES):
-        for p in T.AUTHORSHIP:
-            s = f"regexp_replace({s}, {quoted(p.replace('(?Ui)', '(?i)').replace('(?U)', ''))}, '')"
+    # all tails at once: the longest end of the name that is nothing but tails
+    tails = "|".join(p.replace("(?Ui)", "(?i)").replace("(?U)", "").removesuffix("$") for p in (*T.AUTHORSHIP[:3], "(?i:" + T.AUTHORSHIP[3].replace("(?Ui)", "").removesuffix("$") + ")"))
+    s = f"regexp_replace(strip_accents({c}), {quoted('(?:' + tails + ')+$')}, '')"
     s = f"regexp_replace(lower(trim({s})), {quoted(T.RANK_TAGS.replace('(?Ui)', '(?i)'))}, ' ', 'g')"
     return f"trim(regexp_replace(regexp_replace({s}, '[^a-z0-9\\s.]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -392,6 +391,7 @@ def presence_pr(spark, sf):
 
 
 _CAP = "'\\b\\p{Lu}[\\p{L}''’-]+(?:\\s+(?:(?:de|del|la|las|los|el|y)\\s+)*\\p{Lu}[\\p{L}''’-]+)*'"
+_ONE, _LEAD = _CAP.replace("|y)", ")"), locations.LEAD.removeprefix("(?U)").replace("ú", "u")
 _ADMIN_SQL = "[" + ", ".join(quoted(w) for w in locations.ADMIN) + "]"
 _HINT_CASE = " ".join(f"when list_has_any(string_split(norm, ' '), [{', '.join(quoted(h) for h in v.split())}]) then '{t}'" for t, v in T.TYPE_HINTS)
 
@@ -400,7 +400,10 @@ _HINT_CASE = " ".join(f"when list_has_any(string_split(norm, ' '), [{', '.join(q
 with bx as (select item_id, unnest(regexp_extract_all({ASCII}, {_CAP})) as name from benchmark), gp as (select {sql_place("name")} as gnorm, arg_min(name, {{'i': item_id, 'n': name}}) as name, min(item_id) as item from bx group by 1 having length({sql_place("name")}) >= 2),
 x as (select doc_id, unnest({sql_spans("text", _CAP)}) as x from (select doc_id, {ASCII} as text from documents)),
 m as (select doc_id, trim(x.m) as raw, x.s as s, x.e as e, regexp_replace(trim(lower(strip_accents(x.m))), '\\s+', ' ', 'g') as norm, {sql_place("x.m")} as key from x),
-f as (select * from m where not regexp_matches(norm, '^[\\W\\d]+$') and length(norm) > 2 and not list_has_any(string_split(norm, ' '), {_ADMIN_SQL})),
+v as (select m.*, not exists (select 1 from gp where gp.gnorm = m.key) and regexp_matches(raw, '\\sy\\s|{_LEAD}') as apart from m),
+q as (select doc_id, raw, s, norm, key from v where not apart union all select doc_id, n, s + p.s + length(p.m) - length(n), regexp_replace(trim(lower(strip_accents(n))), '\\s+', ' ', 'g'), {sql_place("n")}
+  from (select doc_id, s, p, regexp_replace(p.m, '{_LEAD}', '') as n from (select doc_id, s, unnest({sql_spans("raw", _ONE)}) as p from v where apart))),
+f as (select * from q where not regexp_matches(norm, '^[\\W\\d]+$') and length(norm) > 2 and not list_has_any(string_split(norm, ' '), {_ADMIN_SQL})),
 r as (select doc_id, raw, s, norm, gp.gnorm is not null as verified, gp.name as canonical, case {_HINT_CASE} else 'place' end as kind from f left join gp on gp.gnorm = f.key and not (strpos(f.key, ' ') = 0 and f.key in ({", ".join(quoted(w) for w in places.COMMON)})))
 select doc_id, case when verified then canonical else 'raw:' || norm end as key, bool_or(verified) as verified, count(*)::int as count, min(s) as first_start, case when bool_or(verified) then 'municipality' else min(kind) end as type from r group by 1, 2
 """)
