@@ -29,23 +29,23 @@ apache-2.0 0.75 see the license for the specific language governing [permissions
 apache-2.0 0.75 distributed on an as is basis without [warranties or conditions] of any kind either express or implied
 apache 0.85 licensed under the? terms? of? the? [apache] software? license
 apache 0.7 [apache] software? license
-mit-0 1.0 spdx license identifier [mit] 0
-mit-0 0.95 [mit] no attribution license?
-mit-0 0.9 opensource org licenses [mit] 0
+mit-0 1.0 [spdx license] identifier mit 0
+mit-0 0.95 mit [no attribution] license?
+mit-0 0.9 opensource [org licenses] mit 0
 mit-0 0.95 permission is [hereby granted] free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided
-mit 1.0 spdx license identifier [mit]
-mit 0.98 licensed under the? terms? of? the? [mit] x11? open? source? license?
-mit 0.98 released under the? terms? of? the? [mit] open? source? license?
-mit 0.97 distributed under the? terms? of? the? [mit] open? source? license?
-mit 0.95 available|provided|published under the? terms? of? the? [mit] open? source? license?
-mit 0.9 subject to the? terms? of? the? [mit] license
-mit 0.9 under the terms of the? [mit] license?
-mit 0.9 governed by the? [mit] license
-mit 0.9 dual licensed under the? [mit]
-mit 0.9 opensource org licenses [mit] license? php|html?
+mit 1.0 [spdx license] identifier mit
+mit 0.98 [licensed under] the? terms? of? the? mit x11? open? source? license?
+mit 0.98 [released under] the? terms? of? the? mit open? source? license?
+mit 0.97 [distributed under] the? terms? of? the? mit open? source? license?
+mit 0.95 available|provided|published under the? terms? of? the? mit open? source? [license]
+mit 0.9 subject to the? terms? of? the? [mit license]
+mit 0.9 [under the terms of] the? mit license?
+mit 0.9 governed by the? [mit license]
+mit 0.9 [dual licensed] under the? mit
+mit 0.9 opensource [org licenses] mit license? php|html?
 mit 0.9 [mit license] http|https
-mit 0.85 the? [mit] license mit
-mit 0.75 [mit] license|licence|licensed
+mit 0.85 the? [mit license] mit
+mit 0.75 [mit licen]se|licence|licensed
 mit 0.9 expat [license]
 mit 0.9 licensed under the? terms? of? the? [expat]
 mit 0.9 permission is [hereby granted] free of charge to any person obtaining a copy of this software and associated documentation files

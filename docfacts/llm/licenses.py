@@ -43,9 +43,18 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     return out
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern for any of the words that tries each beginning once."""
+    if "" in words:
+        return ""
+    firsts = sorted({w[0] for w in words})
+    parts = [re.escape(c) + _trie([w[1:] for w in words if w[0] == c]) for c in firsts]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def gate() -> str:
-    """A pattern for texts that have the keyword of any rule or the first words of a base phrase."""
-    return "|".join(sorted({re.escape(k).replace("\\ ", " ") for _, _, k, _, _ in rules()} | {p for p, _ in BASE}))
+    """A pattern for texts that have the keyword of any rule or a base phrase, at the beginning of a word."""
+    return "(?:^| )" + _trie(sorted({k for _, _, k, _, _ in rules()} | {p for p, _ in BASE}))
 
 
 def normal_words(text: Column) -> Column:
@@ -64,9 +73,10 @@ def _intervals(spaced: Column, pattern: Column) -> Column:
     A mark goes before and after each match; of the words and marks in order, the k-th
     match has 2 k marks before its first and one more before its last."""
     marked = F.split(F.regexp_replace(spaced, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(f" {_BEGIN} $1 {_END} ")), " +")
-    # the empty string before the first space counts as a word
-    place = lambda mark: F.filter(F.transform(marked, lambda w, i: F.when(w == mark, i - 1)), lambda i: i.isNotNull())
-    each = F.transform(F.arrays_zip(place(_BEGIN).alias("b"), place(_END).alias("e")), lambda x, k: F.struct((x["b"] - 2 * k).cast("long").alias("s"), (x["e"] - 2 * k - 1).cast("long").alias("e")))
+    # places of all marks, a begin and an end by turns; the empty string before the first space counts as a word
+    places = F.filter(F.transform(marked, lambda w, i: F.when(w.isin(_BEGIN, _END), i - 1)), lambda i: i.isNotNull())
+    # an expression in a lambda is computed anew for each element, a variable isn't
+    each = F.flatten(F.transform(F.array(places), lambda m: F.transform(F.sequence(F.lit(0), F.size(m) - 2, F.lit(2)), lambda k: F.struct((F.get(m, k) - k).cast("long").alias("s"), (F.get(m, k + 1) - k - 1).cast("long").alias("e")))))
     return F.when(F.rlike(spaced, pattern), each).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
 
 
@@ -74,8 +84,9 @@ def _uncontained(ordered: Column, kind: str) -> Column:
     """Of intervals by start, the longest first, those that reach beyond all before them; block by block, as appending copies what there is."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / BLOCK).cast("int")), lambda b: F.slice(ordered, b * BLOCK + 1, F.lit(BLOCK)))
     reach = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda x: -x["back"])))
+    before = F.flatten(F.transform(F.array(reach), lambda r: F.transform(r, lambda _, i: F.coalesce(F.array_max(F.slice(r, F.lit(1), i)), F.lit(-1).cast("long")))))
     kept = F.transform(
-        F.arrays_zip(blocks.alias("b"), F.transform(blocks, lambda _, i: F.coalesce(F.array_max(F.slice(reach, F.lit(1), i)), F.lit(-1).cast("long"))).alias("r")),
+        F.arrays_zip(blocks.alias("b"), before.alias("r")),
         lambda x: F.aggregate(
             x["b"],
             F.struct(F.array().cast(kind).alias("out"), x["r"].alias("reach")),
