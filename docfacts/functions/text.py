@@ -130,19 +130,17 @@ def running_sums(numbers: Column, block: int = 256) -> Column:
 
     An array that grows by one element is copied each time, so the sums are taken block
     by block: within a block from its own elements, before it from the blocks' sums."""
+    # an expression in a lambda is computed anew for each element, a variable isn't
+    bind = lambda value, f: F.flatten(F.transform(F.array(value), f))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: (s + x).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")), lambda b: F.slice(numbers, b * block + 1, F.lit(block)))
-
-    def both(blocks: Column) -> Column:
-        sums = F.transform(blocks, total)
-        before = F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))
-        within = lambda b, at: F.aggregate(
-            b, F.struct(F.array().cast("array<int>").alias("out"), at.alias("at")),
-            lambda a, x: F.struct(F.array_append(a["out"], (a["at"] + x).cast("int")).alias("out"), (a["at"] + x).cast("int").alias("at")), lambda a: a["out"],
-        )
-        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), before.alias("at")), lambda x: within(x["b"], x["at"])))
-
-    return F.when(F.size(numbers) > 0, both(blocks)).otherwise(F.array().cast("array<int>"))
+    cut = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / block).cast("int")), lambda b: F.slice(n, b * block + 1, F.lit(block)))
+    before = lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))
+    within = lambda b, at: F.aggregate(
+        b, F.struct(F.array().cast("array<int>").alias("out"), at.alias("at")),
+        lambda a, x: F.struct(F.array_append(a["out"], (a["at"] + x).cast("int")).alias("out"), (a["at"] + x).cast("int").alias("at")), lambda a: a["out"],
+    )
+    both = lambda blocks: F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), bind(F.transform(blocks, total), before).alias("at")), lambda x: within(x["b"], x["at"])))
+    return F.when(F.size(numbers) > 0, bind(numbers, lambda n: bind(cut(n), both))).otherwise(F.array().cast("array<int>"))
 
 
 def spans(text: Column, pattern: str | Column) -> Column:

@@ -112,6 +112,27 @@ def downsample_negatives(rows: DataFrame, positive: str, ratio: float, key: list
     return rows.where(positive).unionByName(kept)
 
 
+def assemble(*sources: DataFrame, share: float = 0.1, seed: str = "0", negatives: float | None = None) -> DataFrame:
+    """The data set: examples of all sources, with is_dev by document.
+
+    negatives: how many impossible examples of the training part are kept for each
+    possible one; None: all. Nothing is collected."""
+    rows = sources[0]
+    for s in sources[1:]:
+        rows = rows.unionByName(s)
+    rows = split_documents(rows, share, seed)
+    if negatives is None:
+        return rows
+    train = downsample_negatives(rows.where("not is_dev").withColumn("_yes", ~F.col("is_impossible")), "_yes", negatives, ["id", "question"]).drop("_yes")
+    return train.unionByName(rows.where("is_dev"))
+
+
+def dataset_counts(rows: DataFrame) -> DataFrame:
+    """(part, n_examples, n_impossible, n_documents) of the training and the development part."""
+    part = F.when(F.col("is_dev"), "dev").otherwise("train").alias("part")
+    return rows.select(part, "is_impossible", doc_of(F.col("id")).alias("d")).groupBy("part").agg(F.count(F.lit(1)).alias("n_examples"), F.count_if("is_impossible").alias("n_impossible"), F.count_distinct("d").alias("n_documents"))
+
+
 # windows
 
 

@@ -46,22 +46,27 @@ def scan_vernacular(docs: DataFrame, gazetteer: DataFrame, id_col: str = "_id",
     """(id, common, scientific, start, end): names from left to right, the longest first, without overlap.
 
     A name whose text begins with a capital blocks shorter ones at its place and is
-    not taken. Word groups meet the gazetteer in a join (broadcast only where Spark
-    finds it small); only matches come together by document."""
+    not taken. Words meet the first words of the gazetteer's keys, and groups of those
+    that are left the keys themselves, in joins (broadcast only where Spark finds a side
+    small); only matches come together by document, each with its own piece of the text."""
     tok = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    tok = tok.select("id", spans(F.col("text"), WORD).alias("t")).where("size(t) > 0")
-    tok = tok.select("id", "t", F.transform("t", lambda x: F.lower(F.translate(x["text"], *WORD_ACCENTS))).alias("n"))
-    gram = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("t") - i + 1)), lambda k: F.struct(
-        i.alias("i"), k.alias("k"), F.array_join(F.slice(F.col("n"), i, k), " ").alias("key"), F.get("t", i - 1)["start"].alias("start"), F.get("t", i + k - 2)["end"].alias("end"), F.get("t", i - 1)["text"].alias("head")))))
-    g = tok.select("id", F.explode(gram).alias("g")).select("id", "g.*")
-    keys = gazetteer.where(F.size(F.split("common_norm", " ")) <= max_words).select(F.col("common_norm").alias("key"), "scientific")
+    tok = tok.select("id", "text", spans(F.col("text"), WORD).alias("t")).where("size(t) > 0")
+    tok = tok.select("id", "text", "t", F.transform("t", lambda x: F.lower(F.translate(x["text"], *WORD_ACCENTS))).alias("n"))
+    # one row for each word, with what up to max_words words from there would be; only words that begin a key go on
+    ahead = F.transform("t", lambda x, i: F.struct(
+        i.alias("i"), F.get("n", i).alias("first"), F.slice("n", i + 1, F.lit(max_words)).alias("words"), F.transform(F.slice("t", i + 1, F.lit(max_words)), lambda y: y["end"]).alias("ends"), x["start"].alias("start"), x["text"].alias("head"),
+        F.substring(F.col("text"), x["start"] + 1, F.get("t", F.least(i + max_words, F.size("t")) - 1)["end"] - x["start"]).alias("piece")))
+    g = tok.select("id", F.explode(ahead).alias("g")).select("id", "g.*")
+    keys = gazetteer.select(F.col("common_norm").alias("key"), "scientific", F.size(F.split("common_norm", " ")).alias("m")).where(F.col("m") <= max_words)
+    firsts = keys.groupBy(F.substring_index("key", " ", 1).alias("first")).agg(F.max("m").alias("most"))
+    g = g.join(firsts, "first").select("id", "i", "words", "ends", "start", "head", "piece", F.explode(F.sequence(F.lit(1), F.least("most", F.size("words")))).alias("k"))
+    g = g.select("id", "i", "k", F.array_join(F.slice("words", F.lit(1), F.col("k")), " ").alias("key"), "start", F.get("ends", F.col("k") - 1).alias("end"), "head", "piece")
     first = F.substring("head", 1, 1)
-    m = g.join(keys, "key").withColumn("capital", (F.upper(first) == first) & (F.lower(first) != first))
-    longest = m.groupBy("id", "i").agg(F.max_by(F.struct("k", "start", "end", "capital", "scientific"), "k").alias("x"))
+    m = g.join(keys.select("key", "scientific"), "key").withColumn("capital", (F.upper(first) == first) & (F.lower(first) != first)).withColumn("common", F.substring(F.col("piece"), F.lit(1), F.col("end") - F.col("start")))
+    longest = m.groupBy("id", "i").agg(F.max_by(F.struct("k", "start", "end", "capital", "scientific", "common"), "k").alias("x"))
     per = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
-    none = F.array().cast("array<struct<start:int,end:int,scientific:array<string>>>")
+    none = F.array().cast("array<struct<start:int,end:int,scientific:array<string>,common:string>>")
     taken = F.aggregate("m", F.struct(none.alias("out"), F.lit(0).alias("free")), lambda a, y: F.when(
-        (y["i"] < a["free"]) | y["x"]["capital"], a).otherwise(F.struct(F.array_append(a["out"], F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"]["scientific"].alias("scientific"))).alias("out"), (y["i"] + y["x"]["k"]).cast("int").alias("free"))), lambda a: a["out"])
+        (y["i"] < a["free"]) | y["x"]["capital"], a).otherwise(F.struct(F.array_append(a["out"], F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"]["scientific"].alias("scientific"), y["x"]["common"].alias("common"))).alias("out"), (y["i"] + y["x"]["k"]).cast("int").alias("free"))), lambda a: a["out"])
     hits = per.select("id", F.explode(taken).alias("h"))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return hits.join(text, "id").select(F.col("id").alias(id_col), F.substring(F.col("text"), F.col("h.start") + 1, F.col("h.end") - F.col("h.start")).alias("common"), "h.scientific", "h.start", "h.end")
+    return hits.select(F.col("id").alias(id_col), "h.common", "h.scientific", "h.start", "h.end")

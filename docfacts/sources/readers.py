@@ -83,8 +83,10 @@ def evidence(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, text string, features map<string,array<struct<start:int,end:int>>>").option("multiLine", True).json(path)
 
 
-def squad(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"version string, data array<{EXAMPLE_STRUCT}>").option("multiLine", True).json(path).select(F.explode("data").alias("d")).select("d.*")
+def squad(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Examples of a data set: one {version, data} document to a file or, as write_squad splits large ones, one to a line."""
+    d = spark.read.schema(f"version string, data array<{EXAMPLE_STRUCT}>").option("multiLine", not lines).json(path)
+    return d.select(F.explode("data").alias("d")).select("d.*")
 
 
 def threshold(spark: SparkSession, report: str | None = None, env: str = "DOCFACTS_QA_THRESHOLD", default: float = 0.0) -> float:
@@ -92,7 +94,7 @@ def threshold(spark: SparkSession, report: str | None = None, env: str = "DOCFAC
     if os.environ.get(env):
         return float(os.environ[env])
     if report:
-        row = spark.read.schema("best_tau double").option("multiLine", True).json(report).first()
+        row = spark.read.schema("best_tau double").option("multiLine", True).json(report).where("best_tau is not null").first()
         if row and row[0] is not None:
             return float(row[0])
     return default

@@ -39,14 +39,23 @@ def append_teacher(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_squad(examples: DataFrame, path: str) -> None:
-    """One JSON line per example, split over files."""
-    examples.write.mode("overwrite").json(path)
+def write_squad(examples: DataFrame, path: str, version: str = "1.0") -> None:
+    """The data set as {version, data: [one example]} documents, one to a line and split over files, for readers.squad with lines=True."""
+    one = examples.select(F.lit(version).alias("version"), F.array(F.struct("id", "question", "context", "answers", "is_impossible")).alias("data"))
+    one.write.mode("overwrite").json(path)
 
 
-def write_report(overall: DataFrame, per_tag: DataFrame, sweep: DataFrame, path: str) -> None:
+def write_report(overall: DataFrame, per_tag: DataFrame, sweep: DataFrame, path: str, best: DataFrame | None = None, metadata: dict[str, str] | None = None) -> None:
+    """The tables of an evaluation, and a summary of one line: best_tau, best_f1 and metadata; readers.threshold reads it.
+
+    best: the row of qa.best_threshold; by default that of the sweep."""
+    from docfacts.operators.qa import best_threshold
+
     for name, df in (("overall", overall), ("per_tag", per_tag), ("sweep", sweep)):
         df.write.mode("overwrite").json(f"{path}/{name}")
+    pairs = [F.lit(x) for kv in (metadata or {}).items() for x in kv]
+    meta = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    (best or best_threshold(sweep)).select("best_tau", "best_f1", meta.alias("metadata")).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
 def response(df: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from docfacts.operators import places, taxa
 from docfacts.sources import readers, writers
 from docfacts.streaming.files import document_stream, run_stream
@@ -47,3 +49,30 @@ def test_small_files(spark, tmp_path):
 
     assert from_evidence(readers.evidence(spark, str(tmp_path / "e.json"))).first()["answers"]["text"] == ["ab"]
     assert readers.threshold(spark) == 0.0
+
+
+def test_data_set_and_report_round_trips(spark, tmp_path):
+    """What the sinks write the readers read: the assembled data set, and the threshold of a report."""
+    from docfacts.operators import qa, service
+    from docfacts.sources import readers, writers
+
+    cache = spark.createDataFrame([(f"d{i}", "parque del monte", {"protected_area": [(0, 6)]}) for i in range(20)], "id string, text string, features map<string,array<struct<start:int,end:int>>>")
+    docs = cache.select(F.col("id").alias("_id"), "text")
+    replies = docs.select(F.col("_id").alias("doc"), F.lit('{"0": "monte", "1": "nada"}').alias("reply"))
+    data = qa.assemble(qa.from_evidence(cache), qa.from_teacher(docs, replies, ["q0", "q1"]))
+    counts = {r["part"]: tuple(r)[1:] for r in qa.dataset_counts(data).collect()}
+    assert counts == {"dev": (6, 2, 2), "train": (54, 18, 18)}
+    assert qa.assemble(data.drop("is_dev"), negatives=0.5).where("not is_dev and is_impossible").count() == 18
+    writers.write_squad(data.drop("is_dev"), str(tmp_path / "squad"))
+    key = lambda r: (r["id"], r["question"])
+    assert sorted(readers.squad(spark, str(tmp_path / "squad"), lines=True).collect(), key=key) == sorted(data.select("id", "question", "context", "answers", "is_impossible").collect(), key=key)
+    (tmp_path / "one.json").write_text('{"version": "1.0",\n "data": [\n {"id": "a::sp", "question": "q",\n "context": "c", "answers": {"text": [], "answer_start": []}, "is_impossible": true}]}')
+    assert [r["id"] for r in readers.squad(spark, str(tmp_path / "one.json")).collect()] == ["a::sp"]
+    rows = spark.createDataFrame([("a::sp", "monte", "monte", 1.5), ("b::sp", "", "rio", 0.2)], "id string, gold string, span string, margin double")
+    sweep = qa.threshold_sweep(rows)
+    writers.write_report(qa.score_at(rows, 0.0), qa.score_at(rows, 0.0, True), sweep, str(tmp_path / "report"), metadata={"model": "none"})
+    assert readers.threshold(spark, str(tmp_path / "report/summary")) == qa.best_threshold(sweep).first()["best_tau"] == 1.5
+    r = service.batch(docs, lambda d: d.select("_id")).first()
+    assert r["count"] == 20 and len(r["results"]) == 20 and service.batch_size(docs).first()[0] == 20
+    assert service.health(spark, vernacular=docs).first().asDict() == {"status": "ok", "n_concepts": 0, "n_names": 0, "n_places": 0, "n_vernacular": 20}
+    assert [tuple(r) for r in service.describe(docs).collect()] == [("_id", "string"), ("text", "string")]

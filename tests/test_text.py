@@ -83,3 +83,28 @@ def test_similarity_and_its_prefilter(spark):
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", near_enough(F.col("a"), F.col("b"), 0.9).alias("n"))
     for r in df.collect():
         assert r["n"] or indel_ratio(r["a"], r["b"]) < 0.9
+
+
+def test_authorship_to_the_end(spark):
+    """However many authorities a name has, all go."""
+    names = ["Aus bus " + " ".join("Abc" + "d" * i for i in range(11)), "Aus bus (L.) (Mill.) Hoek, 1758 van der Berg", "Aus bus", "", None]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "a string").select(T.normalize_taxon(F.col("a"))).collect()]
+    assert got == ["aus bus", "aus bus", "aus bus", "", None]
+
+
+def test_fold_is_nfkd(spark):
+    import unicodedata
+
+    texts = ["Άλφα ① ⑩ ﬁn Ǆ été ß Œ ½ ㎏ … ĳ ñandú", "x\u0301 y", "カ゛ ｶﾞ", "й Й ё", "plain", "", None]
+    want = [t and "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)) for t in texts]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "a string").select(T.fold_accents(F.col("a"))).collect()] == want
+
+
+def test_spans_of_long_texts(spark):
+    """Steps grow with the text, not with its square."""
+    import time
+
+    text = "wort Abc " * 100_000
+    began = time.time()
+    n, last = spark.createDataFrame([(text,)], "t string").repartition(1).select(F.size(T.spans(F.col("t"), T.WORD)), F.element_at(T.spans(F.col("t"), T.WORD), -1)).first()
+    assert n == 200_000 and (last["text"], last["start"], last["end"]) == ("Abc", len(text) - 4, len(text) - 1) and time.time() - began < 30
