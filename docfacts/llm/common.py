@@ -3,12 +3,8 @@ folder, Arrow slices of bounded size, and vectorised word hashing."""
 
 from __future__ import annotations
 
-import atexit
 import functools
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,40 +13,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfacts.sources.shared import shared_dir, written  # noqa: F401
+
 #: Bytes of text that one Python step handles at a time (a longer single text is one step).
 SLICE_BYTES = 1 << 20
-#: Rows of a written table of numbers that one task may write.
-ROWS_A_FILE = 1 << 18
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own where that is unset (local tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-
-
-@functools.lru_cache(maxsize=1)
-def _own_dir() -> str:
-    where = tempfile.mkdtemp(prefix="docfacts-")
-    atexit.register(shutil.rmtree, where, ignore_errors=True)
-    return where
-
-
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and reread.
-
-    rows: how many rows of a few numbers there may be, where that is known; a small
-    table is then written by few tasks."""
-    spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
-    path = f"{shared_dir(spark).rstrip('/')}/docfacts/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(columns: list[str], name: str) -> str:
     """name, with underscores before it until no column has it (in any case)."""
     taken = {c.lower() for c in columns}
