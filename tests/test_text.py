@@ -58,6 +58,15 @@ def test_place_type(spark):
     assert [r[0] for r in df.select(T.place_type(F.col("c"), F.col("f"))).collect()] == ["river", "water_body", "place", "province"]
 
 
+def test_place_type_is_what_its_sql_says(spark):
+    from docfacts.plans import queries
+
+    assert {"ADM1", "STMM", "RESF", "PPL"} <= set(queries._CODES) and len(queries._CODES) == 42
+    df = spark.createDataFrame([(c, f) for c in "AHLPRTV" for f in queries._CODES], "fclass string, fcode string")
+    got = df.select("fcode", T.place_type(F.col("fclass"), F.col("fcode")).alias("type"), F.expr(f"case {queries._TYPE_CASE} else 'place' end").alias("sql")).collect()
+    assert all(r["type"] == r["sql"] for r in got) and {r["type"] for r in got if r["fcode"] == "STMM"} == {"river"}
+
+
 @pytest.mark.parametrize(("a", "b", "f1"), [("el río Sosa", "río sosa", 1.0), ("", "", 1.0), ("x", "", 0.0), ("a b b", "b b c", 2 / 3)])
 def test_token_f1(spark, a, b, f1):
     df = spark.createDataFrame([(a, b)], "a string, b string")
