@@ -10,7 +10,9 @@ of the host and a language in place of the path."""
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,11 +51,10 @@ def evidence(texts: list[bytes]) -> np.ndarray:
     return np.column_stack(x) if len(texts) else np.zeros((0, len(x)))
 
 
-def fit(good: list[bytes], bad: list[bytes], labelled: tuple[int, int] | None = None) -> Model:
+def fit(good: Sequence[bytes], bad: Sequence[bytes], labelled: tuple[int, int] | None = None) -> Model:
     """A logistic classifier, its prior corrected to the share of good rows among all `labelled` ones (good, bad)."""
-    texts = good + bad
     n1, n0 = labelled or (len(good), len(bad))
-    x = np.concatenate([evidence(texts[i : i + 50]) for i in range(0, len(texts), 50)] or [evidence([])])
+    x = np.concatenate([evidence(list(texts)) for texts in itertools.batched(itertools.chain(good, bad), 50)] or [evidence([])])
     y = np.array([1.0] * len(good) + [0.0] * len(bad))
     width = evidence([b""]).shape[1]
     if not good or not bad:

@@ -13,8 +13,10 @@ of the others, and corrected for the share of toxic rows among all labelled ones
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import re
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docfacts.llm.common import LOWER, Words, slices, windows_of
+from docfacts.llm.common import LOWER, Packed, Words, slices, windows_of, written
 
 #: The fit reads at most so many labelled rows of each class (chosen by a hash of
 #: their id), each of at most so many bytes.
 SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 1 << 15
+#: The driver fetches the sample in so many parts.
+SAMPLE_FILES = 16
 WINDOW, STEP = 40, 28
 LEVEL = 3
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
@@ -36,6 +40,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
 MIN_RATIO, PREFIXES = 16.0, (5, 8, 12)
 #: A text of the sample with this part of its shingles in texts before it is a copy and counts no more.
 COPY = 0.5
+#: Shingles are looked for among those of other texts in so many parts.
+SHINGLE_PARTS = 16
 THRESHOLDS = (2, 3, 4, 5)
 #: The calibration measures each of so many parts of the sample with a dictionary of the others.
 PARTS = 4
@@ -77,25 +83,40 @@ def features(model: Model, text: bytes) -> list[float]:
     return [float(min(d.max(), 8)), *(math.log1p(h) for h in hits), *(min(1.0, 20 * h / n) for h in hits), math.log(n), float(np.clip(d, -2, 8).mean())]
 
 
-def first_copies(texts: list[bytes]) -> list[bytes]:
-    """texts without those that are, mostly, copies of texts before them."""
-    seen: set[int] = set()
-    out = []
-    for t in texts:
+def _first_copies(texts: Iterable[bytes]) -> list[int]:
+    """Which texts are not, mostly, copies of texts before them. Eight bytes are held for each shingle, which are compared in parts."""
+    size, parts = [], [([], []) for _ in range(SHINGLE_PARTS)]
+    for i, t in enumerate(texts):
         w = Words([t], lower=True).hashes()
-        g = set((windows_of(w, min(5, max(1, len(w)))) if len(w) else w).tolist())
-        if len(g & seen) <= COPY * len(g) if g else not out:
-            out.append(t)
-        seen |= g
+        g = np.unique(windows_of(w, min(5, max(1, len(w)))) if len(w) else w)
+        size.append(len(g))
+        to = g % np.uint64(SHINGLE_PARTS)
+        for k, (hashes, counts) in enumerate(parts):
+            hashes.append(g[to == k])
+            counts.append(len(hashes[-1]))
+    new = np.zeros(len(size), dtype=np.int64)
+    for hashes, counts in parts:
+        if hashes:
+            _, first = np.unique(np.concatenate(hashes), return_index=True)
+            new += np.bincount(np.repeat(np.arange(len(size)), counts)[first], minlength=len(size))
+    out: list[int] = []
+    for i, (n, k) in enumerate(zip(size, new.tolist())):
+        if n - k <= COPY * n if n else not out:
+            out.append(i)
     return out
 
 
+def first_copies(texts: Sequence[bytes]) -> list[bytes]:
+    """texts without those that are, mostly, copies of texts before them."""
+    return [texts[i] for i in _first_copies(texts)]
+
+
 def _keys(word: bytes) -> set[int]:
     """Numbers of the word and its beginnings."""
     return {hash(word[:n]) for n in PREFIXES}
 
 
-def _numbers(texts: list[bytes]) -> list[np.ndarray]:
+def _numbers(texts: Sequence[bytes]) -> list[np.ndarray]:
     """The numbers of the words and beginnings of words of each text, each once."""
     return [np.array(sorted(set().union(*map(_keys, set(_WORD.findall(t))))), dtype=np.int64) for t in texts]
 
@@ -124,28 +145,30 @@ def _train(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[:size] or b" "
 
 
-def train_ordinary(ordinary: list[bytes]) -> bytes:
+def train_ordinary(ordinary: Sequence[bytes]) -> bytes:
     return _train([t[i : i + 512] for t in ordinary for i in range(0, len(t), 512)], ORDINARY_BYTES, 64, 8)
 
 
-def train_toxic(toxic: list[bytes], telling: set[int]) -> bytes:
+def train_toxic(toxic: Sequence[bytes], telling: set[int]) -> bytes:
     """Trained on toxic texts: on each occurrence of a word that tells them from ordinary ones."""
     return _train([b" " + w + b" " for t in toxic for w in _WORD.findall(t) if not telling.isdisjoint(_keys(w))], TOXIC_BYTES, 32, 6)
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], labelled: tuple[int, int] | None = None) -> Model:
+def fit(toxic: Sequence[bytes], ordinary: Sequence[bytes], labelled: tuple[int, int] | None = None) -> Model:
     """Train both dictionaries and calibrate; labelled: how many rows of each class there are in all.
 
-    With a class missing, every score is the other class's share."""
-    toxic, ordinary = [t.translate(LOWER) for t in toxic], [t.translate(LOWER) for t in ordinary]
+    With a class missing, every score is the other class's share. The sample may have
+    128 MB: texts are kept compressed and read one by one."""
     n1, n0 = labelled or (len(toxic), len(ordinary))
-    toxic, ordinary = first_copies(toxic), first_copies(ordinary)
+    toxic, ordinary = (Packed(t.translate(LOWER) for t in texts) for texts in (toxic, ordinary))
+    toxic, ordinary = toxic.at(_first_copies(toxic)), ordinary.at(_first_copies(ordinary))
     a, b = _numbers(toxic), _numbers(ordinary)
     model = Model(train_ordinary(ordinary), train_toxic(toxic, _telling(a, b)), (), (), ())
     # the texts that trained a dictionary would flatter it: each part is measured with one of the other parts
     rows, y = [], []
     for part in range(PARTS):
-        others, own_words, other_words = ([t for i, t in enumerate(every) if i % PARTS != part] for every in (toxic, a, b))
+        others = toxic.at([i for i in range(len(toxic)) if i % PARTS != part])
+        own_words, other_words = ([x for i, x in enumerate(every) if i % PARTS != part] for every in (a, b))
         own = Model(model.ordinary, train_toxic(others, _telling(own_words, other_words)), (), (), ())
         for label, texts in ((1, toxic[part::PARTS]), (0, ordinary[part::PARTS])):
             rows += [features(own, t) for t in texts]
@@ -188,21 +211,28 @@ def score(model: Model, text: bytes) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", where=None) -> tuple[list[bytes], list[bytes], tuple[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", where=None) -> tuple[Packed, Packed, tuple[int, int]]:
     """Texts of label 1 and of label 0, at most `rows` each, chosen by a hash of the id; and how many ids have each label.
 
     Only the ids chosen, so bounded a number, are broadcast; held-out ids can be
     excluded by `where`, a condition on id_col. Rows with a null id or label, or
-    longer than max_bytes, are not drawn; of rows that share an id all are."""
+    longer than max_bytes, are not drawn; of rows that share an id all are. The texts
+    go through a written table, of which the driver fetches one part at a time."""
     named = labels.select(F.col(id_col), F.col(label).alias("_label")).where(f"{id_col} is not null and _label in (0, 1)")
     if where is not None:
         named = named.where(where)
     named = named.groupBy(id_col).agg(F.max("_label").alias("_label"))
     ids = [named.where(F.col("_label") == v).select(id_col, "_label").orderBy(F.xxhash64(id_col), id_col).limit(rows) for v in (1, 0)]
     n = {r[0]: r[1] for r in named.groupBy("_label").count().collect()}
-    got = docs.select(id_col, text_col).where(F.octet_length(text_col) <= max_bytes).join(F.broadcast(ids[0].union(ids[1])), id_col).select("_label", text_col, F.xxhash64(id_col).alias("_h"), id_col).collect()
-    got.sort(key=lambda r: (r[2], r[3], r[1]))
-    return *([r[1].encode("utf-8") for r in got if r[0] == v] for v in (1, 0)), (n.get(1, 0), n.get(0, 0))
+    drawn = docs.select(id_col, text_col).where(F.octet_length(text_col) <= max_bytes).join(F.broadcast(ids[0].union(ids[1])), id_col)
+    drawn = written(drawn.select("_label", F.encode(text_col, "UTF-8").alias("_text"), F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id")).repartition(SAMPLE_FILES), "sample")
+    key, packed = [], Packed()
+    for r in drawn.toLocalIterator():
+        text = bytes(r[1])
+        key.append((r[2], r[3], hashlib.md5(text).digest(), r[0]))
+        packed.append(text)
+    order = sorted(range(len(key)), key=key.__getitem__)
+    return *(packed.at([i for i in order if key[i][3] == v]) for v in (1, 0)), (n.get(1, 0), n.get(0, 0))
 
 
 def learn(docs: DataFrame, labels: DataFrame, **kw) -> Model:

@@ -174,6 +174,25 @@ def test_copies_count_once():
     assert toxicity.first_copies([x.encode() for x in (texts[0], near, texts[1], texts[0], texts[2], "", "")]) == [x.encode() for x in texts]
 
 
+def test_fit_holds_no_sample_unpacked(spark):
+    """Fitting on long texts needs memory for a few of them only, and eight bytes a shingle; the sample is the same."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeiounrstlm"), 5)) for _ in range(500)]
+    rows = [(i, " ".join(rng.choice(words, 4000)) + (" dreadful vileness" * 5 if i % 2 else "")) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    toxic, ordinary, n = toxicity.labelled_sample(docs, labels, "toxic", rows=20)
+    order = [r[0] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").collect()]
+    assert [list(x) for x in (toxic, ordinary)] == [[rows[i][1].encode() for i in order if i % 2 == v][:20] for v in (1, 0)] and n == (30, 30)
+    size = sum(len(t) for _, t in rows)
+    tracemalloc.start()
+    kept = toxicity.first_copies([t.encode() for _, t in rows])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(kept) == 60 and peak < 6 * size
+
+
 def test_quality_rules(docs, empty):
     for r in quality_rules.judge(docs).collect():
         t = next(t or "" for i, t in enumerate(TEXTS) if i == r["doc_id"]) if r["doc_id"] is not None else "null id " + PASSAGE
