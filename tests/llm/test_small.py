@@ -72,6 +72,44 @@ def test_suffix_dedup_hot(spark, monkeypatch):
     assert got == plain_repeats(rows)
 
 
+def test_suffix_dedup_addresses(docs, monkeypatch):
+    """Blocks send to every bucket, so buckets are few: of 10 GB a block sends each phase some 600 messages."""
+    asked = []
+    announce = suffix_dedup._announce
+    monkeypatch.setattr(suffix_dedup, "n_blocks", lambda *a: 10_000)
+    monkeypatch.setattr(suffix_dedup, "_announce", lambda n: asked.append(n) or announce(n))
+    suffix_dedup.remove_repeats(docs)
+    assert 256 <= asked[0] <= 700
+
+
+@pytest.mark.parametrize(("part", "hot"), [(1 << 16, 24), (3, 24), (3, 1)])
+def test_suffix_dedup_in_parts(monkeypatch, part, hot):
+    """A bucket that compares its contexts in parts finds the same stretches."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = [(i, f"{i * 7919 % 1000} head {i} " + PASSAGE[i % 5 :] + f" tail {i * 31 % 97} " + PASSAGE[: 50 + i % 9].upper()) for i in range(40)]
+    tables = [pa.table({"_id": [i for i, _ in rows[b::4]], "_text": [t.encode() for _, t in rows[b::4]], "_block": [b] * 10}) for b in range(4)]
+
+    def to(moves, n):
+        every = pa.concat_tables(moves)
+        return [every.filter(pa.compute.equal(every["to"], i)) for i in range(n)]
+
+    s, none = suffix_dedup, suffix_dedup._moves([])
+    answers = [s._answer(x) if x.num_rows else none for x in to([s._announce(3)(t, none) for t in tables], 3)]
+    contexts = to([s._contexts(3)(t, x) for t, x in zip(tables, to(answers, 4))], 3)
+    found = to([s._compare(x) if x.num_rows else none for x in contexts], 4)
+    got = collections.Counter()
+    for t, x in zip(tables, found):
+        b, spans = s._block(t, x, anchors=False)
+        gone = s._removed(b, spans)
+        for i, begin, size in zip(b.doc.tolist(), b.begin.tolist(), b.size.tolist()):
+            cut, raw = gone[begin : begin + size], b.buf[begin : begin + size]
+            got[i, size, int(cut.sum()), len(re.findall(b"\1+", cut.astype(np.uint8).tobytes())), hashlib.sha256(raw[~cut].tobytes()).hexdigest()] += 1
+    assert got == plain_repeats(rows)
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     buf = np.frombuffer(b"banana_bandana_banana_" * 5 + b"\xff" * 12, dtype=np.uint8)
     start = np.arange(100)
