@@ -6,7 +6,6 @@ pattern can span the cut, so that the ids equal those of the whole text."""
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 
@@ -14,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docfacts.llm.common import slices
+from docfacts.llm.common import kept_for_stage, slices
 
 #: A text of more characters than this is split at safe boundaries.
 LONG_CHARS = 1 << 16
@@ -23,7 +22,7 @@ LONG_CHARS = 1 << 16
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
-@functools.lru_cache(maxsize=4)
+@kept_for_stage
 def encoding(rank_file: str, pattern: str):
     import tiktoken
 

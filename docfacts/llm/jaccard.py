@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import Words, mix, release, slices, windows_of, written
+from docfacts.llm.common import Words, mix, release, settle, slices, windows_of, written
 from docfacts.llm.graph import components, extend
 
 SHINGLE, PERCENT = 5, 80
@@ -193,6 +193,7 @@ def _lists(sketch):
     Shingles whose lists are split (by the sketch, so everywhere alike) keep the shingle as their key."""
 
     def run(table: pa.Table) -> pa.Table:
+        settle()
         data = [np.frombuffer(x, "<i8").reshape(3, -1) for x in table.column("data").to_pylist()]
         token, fp, n = np.concatenate(data, axis=1)
         order = np.lexsort((fp, token))
@@ -261,6 +262,7 @@ def _open(rows: DataFrame, k: int, percent: int) -> DataFrame:
     def run(it):
         import zstandard
 
+        settle()
         unpack = zstandard.ZstdDecompressor().decompress
         known: dict[int, np.ndarray] = {}
 

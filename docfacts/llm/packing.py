@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import quiet_threads, slices, written
+from docfacts.llm.common import kept_for_stage, quiet_threads, slices, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -131,7 +131,7 @@ class WordTokenizer:
         return [self._whole(t) if s is None else b"".join(map(cache.__getitem__, s)) for t, s in zip(texts, split)]
 
 
-@functools.lru_cache(maxsize=2)
+@kept_for_stage
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 

@@ -12,7 +12,6 @@ of the others, and corrected for the share of toxic rows among all labelled ones
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 import re
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docfacts.llm.common import LOWER, Packed, Words, slices, windows_of, written
+from docfacts.llm.common import LOWER, Packed, Words, kept_for_stage, slices, windows_of, written
 
 #: The fit reads at most so many labelled rows of each class (chosen by a hash of
 #: their id), each of at most so many bytes.
@@ -57,7 +56,7 @@ class Model:
     weights: tuple[float, ...]
 
 
-@functools.lru_cache(maxsize=8)
+@kept_for_stage
 def _compressor(content: bytes):
     import zstandard as z
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import collections
+import gc
 import hashlib
 import re
+import tracemalloc
+import types
+import weakref
 import zlib
 
 import numpy as np
 import pytest
 
-from docfacts.llm import bpe, graph, jaccard, licenses, media, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from docfacts.llm import bpe, common, graph, jaccard, licenses, media, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
 from docfacts.llm.license_rules import SIGNATURES
 from docfacts.llm.queries import byte_ranks, pattern, word_file
 from docfacts.llm.token_counts import Rollup, by_text, count_tokens, deletes, inserts, revisions
@@ -123,6 +127,39 @@ def test_suffix_sort_and_collisions(monkeypatch):
         assert [bool(s) for s in same] == [False] + [a == b for a, b in zip(key, key[1:])]
 
 
+def test_hashes_without_tables_of_powers():
+    buf = np.random.default_rng(3).integers(0, 256, (1 << 17) + 7).astype(np.uint8)
+    h, codes = common.prefix_hashes(buf), common._byte_codes().tolist()
+    plain, power = [0], 1
+    for x in buf.tolist():
+        plain.append((plain[-1] + codes[x] * power) & common._M)
+        power = power * common._BASE & common._M
+    assert h.tolist() == plain
+    at = np.array([0, 1, 65535, 65536, 65537, 131072])
+    assert common.back(at).tolist() == [pow(common._BASE_INV, i, 1 << 64) for i in at.tolist()]
+    # a large bucket of contexts takes little beside itself, and nothing stays
+    rows = np.random.default_rng(4).integers(97, 123, (1 << 16, suffix_dedup.CONTEXT)).astype(np.uint8)
+    tracemalloc.start()
+    try:
+        key = suffix_dedup._hashes(rows, suffix_dedup.SPAN, suffix_dedup.SPAN + suffix_dedup.GRAM)
+        now, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(np.unique(key)) == len(rows) and now < 4 << 20 and most < 64 << 20
+
+
+def test_worker_gives_up_what_earlier_stages_held(monkeypatch):
+    stage = [1]
+    task = types.SimpleNamespace(get=lambda: types.SimpleNamespace(stageId=lambda: stage[0]))
+    monkeypatch.setattr(common, "TaskContext", task, raising=False)
+    held = weakref.ref(packing.word_tokenizer(WORD_TOKENIZER))
+    assert list(common.slices(iter([]))) == [] and packing.word_tokenizer(WORD_TOKENIZER) is held()
+    stage[0] = 2
+    assert list(common.slices(iter([]))) == []
+    gc.collect()
+    assert held() is None
+
+
 def test_bpe(docs, empty):
     enc = bpe.encoding(BYTE_RANKS, pattern())
     got = collections.Counter(tuple(r) for r in bpe.encode_documents(docs, BYTE_RANKS, pattern()).collect())
