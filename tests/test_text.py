@@ -117,3 +117,29 @@ def test_spans_of_long_texts(spark):
     began = time.time()
     n, last = spark.createDataFrame([(text,)], "t string").repartition(1).select(F.size(T.spans(F.col("t"), T.WORD)), F.element_at(T.spans(F.col("t"), T.WORD), -1)).first()
     assert n == 200_000 and (last["text"], last["start"], last["end"]) == ("Abc", len(text) - 4, len(text) - 1) and time.time() - began < 30
+
+
+def test_fold_costs_by_the_text(spark):
+    """Every character is folded as NFKD has it, and a long text in another script costs no search of the tables for each."""
+    import time
+    import unicodedata
+
+    fold = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+    points = [chr(n) for n in range(0x80, 0x30000) if not 0xAC00 <= n < 0xD800 and not 0xD800 <= n < 0xE000]
+    texts = [c for c in points if unicodedata.decomposition(c) or unicodedata.combining(c)] + ["".join(points)]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "a string").repartition(1).select("a", T.fold_accents(F.col("a")).alias("b")).where("a is not null").select("b").collect()]
+    assert sorted(got) == sorted(map(fold, texts))
+    long = spark.createDataFrame([("текст без знаков і ещё " * 200_000,)], "a string").select(F.octet_length(T.fold_accents(F.col("a"))))
+    long.first()
+    began = time.time()
+    assert long.first()[0] and time.time() - began < 6
+
+
+def test_spans_of_computed_texts(spark):
+    """The text is computed once, however many matches it has."""
+    import time
+
+    text = "Über Äpfel " * 50_000
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "t string").repartition(1).select(T.spans(T.fold_accents(F.col("t")), T.WORD).alias("s")).select(F.size("s"), F.element_at("s", -1)).first()
+    assert got[0] == 100_000 and tuple(got[1]) == ("Apfel", len(text) - 6, len(text) - 1) and time.time() - began < 20
