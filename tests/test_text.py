@@ -143,3 +143,20 @@ def test_spans_of_computed_texts(spark):
     began = time.time()
     got = spark.createDataFrame([(text,)], "t string").repartition(1).select(T.spans(T.fold_accents(F.col("t")), T.WORD).alias("s")).select(F.size("s"), F.element_at("s", -1)).first()
     assert got[0] == 100_000 and tuple(got[1]) == ("Apfel", len(text) - 6, len(text) - 1) and time.time() - began < 20
+
+
+@pytest.mark.parametrize("raw", ["Aus bus (L.)  ", "Aus  bus f. cus", "Aus bus de", "de", "(x)", " Mill.", "A. b-c Mill. & Hoek, 1758", "x y ssp. z 1900"])
+def test_normalize_taxon_is_the_plain_rule(spark, raw):
+    import re
+    import unicodedata
+
+    s = "".join(x for x in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(x)).strip(" ")
+    tails = [(r"\s*\([^()]*\)\s*\Z", 0), (r"\s*,?\s*\d{4}\s*\Z", 0), (r"\s+[A-Z][A-Za-z'’.\-]*\.?\Z", 0), (r"\s+(?:van|von|de[nrl]?|del|della|di|da|la|le|el|du|dos|das|bin|ibn|ter|ten)\Z", re.I)]
+    while True:
+        before = s
+        for p, f in tails:
+            s = re.sub(p, "", s, flags=f)
+        if s == before:
+            break
+    s = re.sub(r"\b(?:subsp|ssp|var|cf|aff|sp|spp|nr|gen|f)\.?\b", " ", s.strip(" ").lower())
+    assert one(spark, raw, T.normalize_taxon) == re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s.]", " ", s)).strip(" ")
