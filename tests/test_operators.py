@@ -127,3 +127,31 @@ def test_ask_and_scores(spark):
         plain = qa.score_at(rows, tau).first()
         assert all(s[c] == pytest.approx(plain[c]) for c in ("n", "em", "f1", "contains", "ans_recall", "tp", "fp", "fn", "tn"))
     assert qa.best_threshold(qa.threshold_sweep(rows)).first()["best_tau"] == 1.0
+
+
+def test_sections_of_long_texts(spark):
+    """Sections against the plain rule; what follows a heading is not searched to the end of the text."""
+    import re
+    import time
+
+    heading, most = "(?:the|der) ", 30
+
+    def plain(text):
+        out = []
+        for m in re.finditer(heading, text):
+            e = m.end()
+            at = text.find("\n", e)
+            b = min(len(text) if at < 0 else at, e + most)
+            if b > e:
+                if out and e <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], b)
+                else:
+                    out.append([e, b])
+        return [tuple(x) for x in out]
+
+    texts = ["", "the ", "the \nthe x\n", "a the b der c\nd the " + "é" * 40, "the end " * 9 + "\n" * 3 + "der 🦅 x", "word the " + "x" * 29, ("text der word\n" + "y" * 40) * 3000 + "the " * 20_000]
+    began = time.time()
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1).select("i", locations.section_windows(F.col("t"), heading, "\n", most).alias("w")).sort("i").collect()
+    took = time.time() - began
+    assert [[tuple(x) for x in r["w"]] for r in rows] == [plain(t) for t in texts] and took < 20
+    assert locations._groups(locations.HEADING) == 0 and locations._groups(r"(a)\((?:b)[(](?<n>c)(?<=d)") == 2
