@@ -155,3 +155,16 @@ def test_sections_of_long_texts(spark):
     took = time.time() - began
     assert [[tuple(x) for x in r["w"]] for r in rows] == [plain(t) for t in texts] and took < 20
     assert locations._groups(locations.HEADING) == 0 and locations._groups(r"(a)\((?:b)[(](?<n>c)(?<=d)") == 2
+
+
+def test_vernacular_of_long_texts(spark):
+    """Names, capitals and pieces as the plain rule has them, in a text of many names."""
+    import time
+
+    g = spark.createDataFrame([("gran pino real", ["A a"]), ("gran pino", ["B b"]), ("pino", ["C c"]), ("real", ["D d"])], "common_norm string, scientific array<string>")
+    text = "gran  pino. Real; gran pino\nreal, Gran pino real, pino Pino KK gran " + "x pino-y " * 2_000
+    began = time.time()
+    got = vernacular.scan_vernacular(spark.createDataFrame([("d", text)], "_id string, text string"), g).orderBy("start").collect()
+    took = time.time() - began
+    assert [(r["common"], r["scientific"]) for r in got[:4]] == [("gran  pino. Real", ["A a"]), ("gran pino\nreal", ["A a"]), ("pino", ["C c"]), ("real", ["D d"])]
+    assert len(got) == 5 + 2_000 and all(text[r["start"] : r["end"]] == r["common"] for r in got) and took < 60
