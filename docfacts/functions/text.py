@@ -99,7 +99,7 @@ def strip_authorship(c: Column) -> Column:
         s = state["s"]
         for p in AUTHORSHIP:
             s = F.regexp_replace(s, p, "")
-        return F.when(state["more"], F.struct(s.alias("s"), (s != state["s"]).alias("more"))).otherwise(state)
+        return F.when(state["more"], let(s, lambda x: F.struct(x.alias("s"), (x != state["s"]).alias("more")))).otherwise(state)
 
     # most names have no tail
     whole = lambda s: F.aggregate(F.sequence(F.lit(0), F.length(s)), F.struct(s.alias("s"), F.lit(True).alias("more")), peel, lambda state: state["s"])

@@ -104,10 +104,18 @@ def resolve_names(names: DataFrame, gaz: Taxa, with_fuzzy: bool = True, how: str
     return out
 
 
+def keys_of(df: DataFrame, col: str, compat: bool = True) -> DataFrame:
+    """(raw, name_norm) of the distinct strings of a column, a written table: each becomes a key once, however many rows and joins name it."""
+    raw = df.select(F.col(col).alias("raw")).where("raw is not null").distinct()
+    return written(raw.withColumn("name_norm", normalize_taxon(F.col("raw"), compat)), "raw")
+
+
 def resolve_taxa(df: DataFrame, col: str, gaz: Taxa, with_fuzzy: bool = True, compat: bool = True, **kw) -> DataFrame:
     """All rows and columns of df, and hit (null where unresolved). Each distinct key is resolved once."""
-    keyed = df.drop("hit").withColumn("name_norm", normalize_taxon(F.col(col), compat))
-    return keyed.join(resolve_names(keyed.where("name_norm is not null"), gaz, with_fuzzy, **kw), "name_norm", "left").drop("name_norm")
+    keys = keys_of(df, col, compat)
+    hits = keys.join(resolve_names(keys, gaz, with_fuzzy, **kw), "name_norm").select(F.col("raw").alias("_raw"), "hit")
+    df = df.drop("hit")
+    return df.join(hits, df[col] == F.col("_raw"), "left").drop("_raw")
 
 
 def accepted(rank: Column, ranks: tuple[str, ...]) -> Column:

@@ -151,9 +151,10 @@ with {_GAZ}, {_EXACT}, m as (select p_partkey, {_MENTION} as raw from part)
 select p_partkey, 'ott:' || x.o as ott_id, pref as canonical, rank, kingdom, case x.s when 1 then 'synonym' else 'exact' end as match_type from m join e on e.name_norm = {sql_taxon("raw")} join concepts on ott_id = x.o
 """)
 def resolve_exact(spark, sf):
-    m = part_mentions(spark, sf).withColumn("name_norm", T.normalize_taxon(F.col("raw")))
-    hits = taxa.exact(m.select("name_norm").distinct(), part_taxa(spark, sf))
-    return m.join(hits, "name_norm").select("p_partkey", "hit.ott_id", "hit.canonical", "hit.rank", "hit.kingdom", "hit.match_type")
+    m = part_mentions(spark, sf)
+    keys = taxa.keys_of(m, "raw")
+    hits = taxa.exact(keys.select("name_norm").distinct(), part_taxa(spark, sf))
+    return m.join(keys.join(hits, "name_norm"), "raw").select("p_partkey", "hit.ott_id", "hit.canonical", "hit.rank", "hit.kingdom", "hit.match_type")
 
 
 @query(f"""
@@ -161,7 +162,8 @@ with {_GAZ}, {_EXACT}, m as (select distinct substr(p_name, 1, 1) || '. ' || spl
 select a.name_norm, 'ott:' || a.ott_id as ott_id, pref as canonical from a join concepts using (ott_id)
 """)
 def resolve_abbrev(spark, sf):
-    q = read(spark, sf, "part").select(F.concat(F.substring("p_name", 1, 1), F.lit(". "), F.element_at(F.split("p_name", " "), 2)).alias("raw")).select(T.normalize_taxon(F.col("raw")).alias("name_norm")).distinct()
+    q = read(spark, sf, "part").select(F.concat(F.substring("p_name", 1, 1), F.lit(". "), F.element_at(F.split("p_name", " "), 2)).alias("raw"))
+    q = taxa.keys_of(q, "raw").select("name_norm").distinct()
     gaz = part_taxa(spark, sf)
     known = taxa.exact(q, gaz)
     return taxa.abbreviated(q.join(known, "name_norm", "left_anti"), gaz).select("name_norm", "hit.ott_id", "hit.canonical")

@@ -168,3 +168,13 @@ def test_vernacular_of_long_texts(spark):
     took = time.time() - began
     assert [(r["common"], r["scientific"]) for r in got[:4]] == [("gran  pino. Real", ["A a"]), ("gran pino\nreal", ["A a"]), ("pino", ["C c"]), ("real", ["D d"])]
     assert len(got) == 5 + 2_000 and all(text[r["start"] : r["end"]] == r["common"] for r in got) and took < 60
+
+
+def test_names_become_keys_once(spark, gaz):
+    """A string that many rows have is normalised once, whatever reads the keys; rows, their columns and nulls stay."""
+    df = spark.range(4000).selectExpr("id", "case when id % 4 = 3 then null else element_at(array('Olea europaea L.', 'Olea europaea', 'in situ'), int(id % 4) + 1) end as raw", "id as hit")
+    keys = taxa.keys_of(df, "raw")
+    assert sorted(map(tuple, keys.collect())) == [("Olea europaea", "olea europaea"), ("Olea europaea L.", "olea europaea"), ("in situ", "in situ")]
+    assert not any("name_norm" in line and "regexp" in line for line in keys._jdf.queryExecution().toString().splitlines())
+    got = taxa.resolve_taxa(df, "raw", gaz, with_fuzzy=False)
+    assert got.columns == ["id", "raw", "hit"] and {(r["raw"], r["hit"] and r["hit"]["ott_id"], r["n"]) for r in got.groupBy("raw", "hit").agg(F.count(F.lit(1)).alias("n")).collect()} == {("Olea europaea L.", "ott:1", 1000), ("Olea europaea", "ott:1", 1000), ("in situ", None, 1000), (None, None, 1000)}
